@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from tidelog.llm.bpe import op2_automaton_bpe
+from tidelog.llm.quality import op10_line_frequency
 from tidelog.llm.secrets import op7_blob_ledger
+from tidelog.llm.simhash import op3_byte_index
 from tidelog.llm.slots import op6_virtual_slots
 
 
 def queries() -> dict:
     return {
+        "op2_automaton_bpe": op2_automaton_bpe,
+        "op3_byte_index": op3_byte_index,
         "op6_virtual_slots": op6_virtual_slots,
         "op7_blob_ledger": op7_blob_ledger,
+        "op10_line_frequency": op10_line_frequency,
     }
 
 
