@@ -34,6 +34,9 @@ OPTIONS = {
     "compression": "zstd",
 }
 
+#: Chunks that the library gets as one text.
+JOINED = 2000
+
 _TABLES: dict[str, TokenTable] = {}
 
 
@@ -41,7 +44,9 @@ def library_table(path: str) -> TokenTable:
     """Ids of chunks between white space, by the tokenizers library.
 
     The tokenizer drops white space and none of its steps reaches across it, so
-    a text's ids are those of its chunks in a row.
+    a text's ids are those of its chunks in a row.  Many chunks go to the
+    library as one text, with the character NUL as a word between them, whose id
+    tells them apart; chunks that hold a NUL go alone.
     """
     if path not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,7 +55,23 @@ def library_table(path: str) -> TokenTable:
         own = Tokenizer.from_file(path)
         own.no_padding()
         own.no_truncation()
-        _TABLES[path] = TokenTable(lambda chunks: [e.ids for e in own.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)])
+
+        def ids_of(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+        ((cut,),) = ids_of(["\0"])  # one id, or the method doesn't fit this tokenizer
+
+        def encode_many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if any("\0" in w for w in words):
+                found = ids_of(words)
+                return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((k for x in found for k in x), np.int32)
+            runs = [" \0 ".join([*words[k : k + JOINED], ""]) for k in range(0, len(words), JOINED)]
+            flat = np.fromiter((k for x in ids_of(runs) for k in x), np.int32)
+            cuts = np.flatnonzero(flat == cut)
+            assert len(cuts) == len(words)
+            return np.diff(cuts, prepend=-1) - 1, flat[flat != cut]
+
+        _TABLES[path] = TokenTable(encode_many)
     return _TABLES[path]
 
 
@@ -64,8 +85,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, before = library_table(path), 0
         for b in batches:
-            texts = b.column(1).to_pylist()
-            flat, ends = table.ids([(t or "").encode("utf-8").split() for t in texts])
+            flat, ends = table.ids(b.column(1))
             ends = ends + np.arange(len(ends))  # an end id more for each document
             ids = np.full(int(ends[-1]), END_ID, np.int32)
             keep = np.ones(len(ids), bool)
