@@ -1,10 +1,204 @@
-"""The registry filled by the modules of this package."""
+"""Every registered query: the operators on the canonical views."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidelog.functions.model import hash60
+from tidelog.operators import clock, detect, lsm, lww, merkle, quorum, ring
+from tidelog.plans.oracle import ORACLE_SQL
+from tidelog.sources import views
+from tidelog.streaming import feeds
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+ASKED = ["user_1", "user_2", "user_3", "user_5", "user_8", "user_13", "user_100000000", "nobody"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def keys_of(log: DataFrame) -> DataFrame:
+    return log.select("key").distinct()
+
+
+def replica_states(s: SparkSession, d: str, *names: str) -> list[DataFrame]:
+    log = views.log_events(s, d)
+    return [lww.latest(views.replica(log, n)) for n in names]
+
+
+def replica_logs(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    log = views.log_events(s, d)
+    return {n: views.replica(log, n) for n in "ABC"}
+
+
+def placed(s: SparkSession, d: str, log: DataFrame | None = None) -> DataFrame:
+    return ring.replicas(keys_of(views.log_events(s, d) if log is None else log), views.peers(s, d))
+
+
+def node_loads(s: SparkSession, d: str) -> DataFrame:
+    """How many keys have each node as their first replica; 0 for the others."""
+    first = placed(s, d).filter("rank = 1").groupBy("node_id").agg(F.count(F.lit(1)).alias("load"))
+    return views.peers(s, d).select("node_id").join(first, "node_id", "left").select("node_id", F.coalesce("load", F.lit(0)).cast("bigint").alias("load"))
+
+
+def deletes(s: SparkSession, d: str) -> DataFrame:
+    log = views.log_events(s, d)
+    return log.filter(lww.is_tombstone(F.col("value")))
+
+
+def hint_queue(s: SparkSession, d: str) -> DataFrame:
+    return quorum.hints(views.log_events(s, d), placed(s, d), views.peers(s, d))
+
+
+def hint_delivery(s: SparkSession, d: str) -> DataFrame:
+    taken = hash60(F.concat(F.lit("ok"), F.col("target"), F.col("seq").cast("string"))) % 100 > 0
+    return quorum.deliver(hint_queue(s, d), views.peers(s, d), taken)
+
+
+def entries(s: SparkSession, d: str) -> DataFrame:
+    return lsm.flush(views.sorted_tables(views.log_events(s, d)))
+
+
+def sst_read(s: SparkSession, d: str) -> DataFrame:
+    path = feeds.shared(s, "sorted-tables")
+    lsm.write_tables(entries(s, d), path)
+    return lsm.summary(s.read.parquet(path).withColumn("sst_id", F.col("sst_id").cast("bigint")))
+
+
+def wal(s: SparkSession, d: str) -> DataFrame:
+    """The log as it was appended, in two parts, read back."""
+    path, log = feeds.shared(s, "wal"), views.log_events(s, d)
+    for half in (0, 1):
+        lsm.append_wal(log.filter(F.col("seq") % 2 == half), path)
+    return s.read.schema(log.schema).parquet(path)
+
+
+def bloom_probe(s: SparkSession, d: str) -> DataFrame:
+    """Per table: keys asked, members, keys that may be in it, and how many of those are not."""
+    tables = views.sorted_tables(views.log_events(s, d))
+    asked = s.range(400).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("key"))
+    members = tables.select("sst_id", "key").distinct().withColumn("member", F.lit(True))
+    filters = lsm.bloom_build(tables)
+    every = asked.join(F.broadcast(filters.select("sst_id").distinct()), how="cross")  # 400 keys, a row for each table
+    probed = every.join(lsm.bloom_probe(asked, filters), ["key", "sst_id"], "left").join(members, ["key", "sst_id"], "left")
+    maybe, member = F.coalesce("maybe", F.lit(False)), F.coalesce("member", F.lit(False))
+    return probed.groupBy("sst_id").agg(
+        F.count(F.lit(1)).alias("asked"), F.count_if(member).alias("members"), F.count_if(maybe).alias("maybe"), F.count_if(maybe & ~member).alias("false_positives"), F.count_if(~maybe & member).alias("missed")
+    )
+
+
+def replica_clocks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    logs = replica_logs(s, d)
+    return clock.counts(logs["A"]), clock.counts(logs["B"])
+
+
+def phi(s: SparkSession, d: str) -> DataFrame:
+    return detect.phi(views.heartbeats(s, d), views.PROBE_MS)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select("node", "n", *[F.round(c, 6).alias(c) for c in ("mean_s", "sd_s", "phi", "phi_monotone")])
+
+
+def gossip(s: SparkSession, d: str) -> DataFrame:
+    e = views.table(s, d, "events")
+    return e.select(F.col("user_id").alias("node_id"), views.epoch_ms(F.col("ts")).alias("ms"), (F.col("event_id") % 1000).alias("key_count"))
+
+
+def membership(s: SparkSession, d: str) -> DataFrame:
+    return detect.membership(gossip(s, d), phi(s, d), 0)
+
+
+def discovery_parse(s: SparkSession, d: str) -> DataFrame:
+    i, node = F.col("event_id").cast("string"), (F.col("event_id") % 5).cast("string")
+    message = (
+        F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("NODE_ALIVE:node_"), node, F.lit(":abc")))
+        .when(F.col("event_id") % 7 == 1, F.concat(F.lit("NODE_ALIVE:node_"), node))
+        .when(F.col("event_id") % 7 == 2, F.concat(F.lit("HELLO:node_"), node, F.lit(":"), i))
+        .otherwise(F.concat(F.lit("NODE_ALIVE:node_"), node, F.lit(":"), i))
+    )
+    return detect.parse_presence(views.table(s, d, "events").select(F.col("event_id").alias("id"), message.alias("message")), own="node_0")
+
+
+def peer_choice(s: SparkSession, d: str) -> DataFrame:
+    rounds = s.range(1000).select(F.col("id").alias("round"), F.concat(F.lit("node_"), (F.col("id") % 5).cast("string")).alias("own"))
+    return detect.choose_peer(rounds, views.peers(s, d))
+
+
+def metrics_counts(s: SparkSession, d: str) -> DataFrame:
+    return detect.cache_hits(views.cache_access(s, d)).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("reads", "hits", "misses")])
+
+
+def log(s: SparkSession, d: str) -> DataFrame:
+    return views.log_events(s, d)
+
+
+def memory_and_tables(s: SparkSession, d: str) -> list[DataFrame]:
+    """The log split into its newest tenth, still in memory, and the rest in tables."""
+    own = log(s, d)
+    return [own.filter(F.col("seq") % 10 == 9), own.filter(F.col("seq") % 10 < 9)]
+
+
+def convergence(s: SparkSession, d: str) -> DataFrame:
+    """After each of A and B has pulled from the other: buckets that still differ, and keys on each side."""
+    a, b = replica_states(s, d, "A", "B")
+    left, right = merkle.repaired(a, b), merkle.repaired(b, a)
+    return merkle.diff(left, right).agg(F.count(F.lit(1)).alias("mismatched"))
+
+
+QUERIES: dict[str, Query] = {
+    "lww_latest": lambda s, d: lww.latest(log(s, d)),
+    "lww_latest_lineitem": lambda s, d: lww.latest(views.log_lineitem(s, d)),
+    "state_scan": lambda s, d: lww.state_scan(*memory_and_tables(s, d)),
+    "tombstones": lambda s, d: lww.tombstones(log(s, d)),
+    "point_get": lambda s, d: lww.point_get(log(s, d), ASKED),
+    "lww_merge": lambda s, d: lww.merge(*[replica_logs(s, d)[n] for n in "AB"]).select("key", "value", "physical_time"),
+    "hlc_order": lambda s, d: lww.hlc_order(views.log_lineitem(s, d)),
+    "write_path": lambda s, d: lww.write_path(log(s, d)),
+    "key_count": lambda s, d: lww.latest(log(s, d)).agg(F.count(F.lit(1)).alias("n_keys")),
+    "node_loads": node_loads,
+    "digest": lambda s, d: merkle.digest(lww.latest(log(s, d))),
+    "merkle_buckets": lambda s, d: merkle.buckets(lww.latest(log(s, d))),
+    "merkle_root": lambda s, d: merkle.root(lww.latest(log(s, d))),
+    "merkle_diff": lambda s, d: merkle.diff(*replica_states(s, d, "A", "B")),
+    "anti_entropy_pull": lambda s, d: merkle.pull(*replica_states(s, d, "A", "B")),
+    "delta_push": lambda s, d: merkle.push(*replica_states(s, d, "A", "B")),
+    "replica_convergence": convergence,
+    "ring_table": lambda s, d: ring.ring_table(views.peers(s, d)),
+    "ring_replicas": placed,
+    "ring_replicas_simple": lambda s, d: ring.replicas(keys_of(log(s, d)), views.peers(s, d), vnodes=None),
+    "ring_bounded": lambda s, d: ring.bounded(keys_of(log(s, d)), node_loads(s, d)),
+    "bounded_capacity": lambda s, d: ring.capacity(node_loads(s, d)),
+    "quorum_write": lambda s, d: quorum.acks(placed(s, d), views.peers(s, d)),
+    "quorum_delete": lambda s, d: quorum.acks(placed(s, d, deletes(s, d)), views.peers(s, d)),
+    "hints_pending": lambda s, d: hint_queue(s, d).groupBy("target").agg(F.count(F.lit(1)).alias("n")),
+    "hint_delivery": hint_delivery,
+    "coordinated_get": lambda s, d: quorum.coordinated_get(replica_logs(s, d)),
+    "read_repair": lambda s, d: quorum.read_repair(replica_logs(s, d)),
+    "read_repair_compat": lambda s, d: quorum.read_repair(replica_logs(s, d), compat=True),
+    "bloom_build": lambda s, d: lsm.bloom_build(views.sorted_tables(log(s, d))),
+    "bloom_probe": bloom_probe,
+    "sst_read": sst_read,
+    "sst_flush": lambda s, d: entries(s, d),
+    "compaction": lambda s, d: lsm.compact(entries(s, d)),
+    "wal_replay": lambda s, d: lsm.replay(wal(s, d)),
+    "wal_compact": lambda s, d: lsm.wal_sizes(log(s, d)),
+    "vclock_state": lambda s, d: clock.counts(log(s, d)),
+    "vclock_merge": lambda s, d: clock.merge(*replica_clocks(s, d)),
+    "vclock_descends": lambda s, d: clock.compare(*replica_clocks(s, d)).select("key", "a_descends", "b_descends"),
+    "vclock_conflicts": lambda s, d: clock.compare(*replica_clocks(s, d)).select("key", "conflict_compat", "conflict_true"),
+    "heartbeat_intervals": lambda s, d: detect.intervals(views.heartbeats(s, d)),
+    "phi_accrual": lambda s, d: rounded(phi(s, d)),
+    "phi_dead": lambda s, d: detect.dead(phi(s, d)).select("node"),
+    "membership": membership,
+    "discovery_parse": discovery_parse,
+    "peer_choice": peer_choice,
+    "lru_hits": lambda s, d: detect.cache_hits(views.cache_access(s, d), 40),
+    "metrics_counts": metrics_counts,
+    "watch_changes": lambda s, d: feeds.watch_changes(log(s, d)),
+    "stream_lww": feeds.stream_lww,
+    "stream_watch": feeds.stream_watch,
+}
