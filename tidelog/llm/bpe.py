@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import documents, small_batches, text_of
+from tidelog.llm.token_table import TokenTable
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Entries of the per-process tables; they are emptied when full, which changes no result.
-WORDS_KEPT = 400_000
-ARCS_KEPT = 600_000
+#: Arcs kept in a process's transition table; it is emptied when full, which changes no result.
+ARCS_KEPT = 300_000
 
 #: Texts of these characters are normalised here; others by the tokenizer file's own normaliser.
 PLAIN = regex.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-₿]*")
@@ -183,7 +183,7 @@ class Codec:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         labels = {v: k for k, v in model["vocab"].items()} | {v: k for k, v in self.special.items()}
         self.labels = np.array([labels.get(k, "") for k in range(max(labels) + 1)], dtype=object)
-        self.words: dict[str, list[int]] = {}
+        self.table = TokenTable(self._encode_chunks)
         self._slow = None
 
     def _library(self):
@@ -202,28 +202,26 @@ class Codec:
         pieces = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
         return [bytes(letters[c] for c in p).decode("utf-8", "surrogateescape") for p, _ in pieces]
 
-    def encode(self, text: str) -> list[int]:
-        if self.at_special and "<|" in text:
-            out: list[int] = []
-            for k, part in enumerate(self.at_special.split(text)):
-                if k % 2:
-                    out.append(self.special[part])
-                elif part:
-                    out += self._plain(part)
-            return out
-        return self._plain(text)
-
     def _plain(self, text: str) -> list[int]:
-        words, out = self.words, []
-        for w in self.split(text):
-            ids = words.get(w)
-            if ids is None:
-                if len(words) >= WORDS_KEPT:
-                    words.clear()
-                ids = words[w] = self.automaton.walk(w.encode("utf-8", "surrogateescape"))
-            out += ids
+        return [k for w in self.split(text) for k in self.automaton.walk(w.encode("utf-8", "surrogateescape"))]
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of one text."""
+        if not self.special or "<|" not in text:
+            return self._plain(text)
+        out: list[int] = []
+        for k, part in enumerate(self.at_special.split(text)):
+            out += [self.special[part]] if k % 2 else self._plain(part)
         return out
 
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.encode(c) for c in chunks]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((k for x in found for k in x), np.int32)
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids begin and end."""
+        return self.table.ids(texts)
+
     def decode(self, ids) -> str:
         return " ".join(self.labels[ids])
 
@@ -245,9 +243,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for texts in batches:
-            rows = [own.encode(t.as_py() or "") for t in texts]
-            ends = np.cumsum([0, *map(len, rows)])
-            flat = np.fromiter((k for row in rows for k in row), dtype=np.int32, count=int(ends[-1]))
+            flat, ends = own.encode_many(texts)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     return ids(text)
@@ -280,12 +276,13 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.withColumn("ids", encode(text_of(), path)).withColumn("decoded", decode(F.col("ids"), path))
 
 
+def digests() -> list[Column]:
+    """ids_sha256 and decoded_sha256 of columns ids and decoded."""
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return [F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+
+
 def op2_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     done = tokenize(documents(spark, sf_dir).select("doc_id", "text"))
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests())
