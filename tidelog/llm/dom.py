@@ -9,9 +9,9 @@ from functools import lru_cache
 
 import xxhash
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
-)
+START = re.compile(r"<(?=[a-zA-Z!?/])")
+#: Possessive, so that every page is read in time that grows with its length.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Fixed sets of HTML.
@@ -107,21 +107,29 @@ def parse(source: str) -> Node:
 
     p, n = 0, len(source)
     while p < n:
-        m = TAG.search(source, p)
-        end = m.start() if m else n
+        start = START.search(source, p)
+        end = start.start() if start else n
         if end > p:
             text.append(source[p:end])
             if in_link:
                 linked += end - p
-        if not m:
+        if not start:
             break
-        p = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        m = TAG.match(source, end)
+        if not m:
+            if source.startswith("<!--", end):
+                p = source.find("-->", end + 2) + 3
+            elif source[end + 1] in "!?" or source[end + 1] == "/" and not source[end + 2 : end + 3].isalpha():
+                p = source.find(">", end) + 1
+            else:
+                break  # a tag that doesn't end takes the rest
+            if p < end:
+                break
             continue
-        ends = m[1] or m[4]
+        p = m.end()
+        ends, name, attributes = m[1], m[2].lower(), m[3]
         if name in RAW:
-            if not ends and not (m[3] or m[6] or "").endswith("/"):
+            if not ends:
                 stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, p)
                 p = n if not stop else (source.find(">", stop.start()) + 1 or n)
             continue
@@ -160,11 +168,10 @@ def parse(source: str) -> Node:
         if name in VOID:
             continue
         node = Node(name, at)
-        attributes = m[3] or m[6]
         if attributes:
             _attributes(node, attributes)
         at.children.append(node)
-        if not (attributes or "").endswith("/") and node.depth < MOST_DEPTH:
+        if node.depth < MOST_DEPTH:
             at = node
     flush()
     return root

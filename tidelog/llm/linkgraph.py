@@ -1,7 +1,7 @@
 """URL filters: rules, and trust and distrust spread over the host graph.
 
 A rule decides every url that it fits.  The others are decided by their host:
-hosts are seeds in so far as rules allow or block their pages; trust spreads
+hosts are seeds where rules allow or block most of their pages; trust spreads
 along links (personalised PageRank from the trusted seeds), distrust against
 them (from the blocked seeds to those who link there); a host is blocked where
 its distrust reaches a limit and exceeds its trust.
@@ -18,8 +18,10 @@ from tidelog.llm.common import broadcast_if_small, pages, stored
 
 DAMPING = 0.85
 ROUNDS = 12
+#: A host is a seed where rules decide this share of its pages alike; the share is its seed's weight.
+SEED_SHARE = 0.5
 #: A host whose distrust is this or more, and more than its trust, is blocked.
-LIMIT = 0.5
+LIMIT = 0.05
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -121,8 +123,9 @@ def judged(table: DataFrame, rules: tuple[Rule, ...] = RULES, limit: float = LIM
     """
     named = table.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = named.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("by_rule", verdict_of(F.col("rule"), rules))
-    share = lambda v: (F.count(F.when(F.col("by_rule") == v, 1)) / F.count(F.lit(1)))
-    seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+    share = lambda v: F.count(F.when(F.col("by_rule") == v, 1)) / F.count(F.lit(1))
+    weight = lambda v: F.when(share(v) >= SEED_SHARE, share(v)).otherwise(0.0)
+    seeds = ruled.filter("host <> ''").groupBy("host").agg(weight("allow").alias("trust"), weight("block").alias("distrust"))
     edges = stored(host_edges(table), "host-edges")
     bad = stored(scores(edges, seeds, rounds).filter((F.col("distrust") >= limit) & (F.col("distrust") > F.col("trust"))).select(F.col("host").alias("bad_host")), "blocked-hosts")
     side = broadcast_if_small(bad, F.octet_length("bad_host"))
