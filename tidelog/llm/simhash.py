@@ -176,27 +176,24 @@ def link_edges(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return edges.distinct()
 
 
-def link(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """doc_id, fp and component_id of every row of docs (doc_id, text).
-
-    component_id is the least doc_id that links reach.  A null text counts as
-    empty: fingerprint zero, linked as any other.  Repeated rows come back as
-    often; rows with a null doc_id get the least id of their component, or null
-    if it has none.  An empty table gives no rows.  Equal fingerprints meet once
-    in the index, so copies cost nothing there.
+def link(docs: DataFrame, long_list: int = LONG_LIST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, label and component_id of every row of docs (doc_id, text), with the columns in carry.
+
+    label is the component's least fingerprint, component_id the least doc_id
+    that links reach.  A null text counts as empty: fingerprint zero, linked as
+    any other.  Repeated rows come back as often; rows with a null doc_id get the
+    least id of their component, or null if it has none.  An empty table gives
+    no rows.  Equal fingerprints meet once in the index, so copies cost nothing
+    there.
     """
     small_batches(docs.sparkSession)
-    own = stored(docs.select("doc_id", fingerprints(text_of()).alias("fp")), "fingerprints")
+    own = stored(docs.select("doc_id", *carry, fingerprints(text_of()).alias("fp")), "fingerprints")
     least = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     edges = stored(link_edges(least.select("fp"), long_list), "links")
     labels = components(edges)  # node, label: only fingerprints that have links
     named = least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    # a component's least doc_id, over its fingerprints
-    roots = named.filter(F.col("label") != F.col("fp")).select("label").distinct()
-    inside = named.join(roots, "label", "left_semi")
-    component = inside.groupBy("label").agg(F.min("least").alias("component"))
-    by_fp = named.join(component, "label", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    component = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return own.join(named.join(component, "label").select("fp", "label", "component_id"), "fp").select("doc_id", *carry, "fp", "label", "component_id")
 
 
 def op3_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
