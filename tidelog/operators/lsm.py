@@ -41,9 +41,8 @@ def flush(log: DataFrame) -> DataFrame:
 def write_tables(entries: DataFrame, path: str) -> None:
     """One directory for each table, files sorted by key, with key statistics and a Bloom filter for reads by key."""
     salted = entries.repartition("sst_id", F.expr(f"pmod(xxhash64(key), {PROBES + 1})"))
-    salted.sortWithinPartitions("sst_id", "key").write.partitionBy("sst_id").option("compression", "lz4_raw").option(
-        "parquet.bloom.filter.enabled#key", "true"
-    ).mode("overwrite").parquet(path)
+    options = {"compression": "lz4_raw", "parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    salted.sortWithinPartitions("sst_id", "key").write.partitionBy("sst_id").options(**options).mode("overwrite").parquet(path)
 
 
 def summary(entries: DataFrame) -> DataFrame:
