@@ -146,6 +146,7 @@ def test_leaks(spark, empty):
         (11, pad + other, "en", "a", 1),
         (12, pad + broken, "en", "a", 1),
         (13, pad + ITEMS[1][1].lower() + " more", "en", "a", 1),
+        (20, pad + ITEMS[1][1].upper().replace(" ", "\n"), "en", "a", 1),
         (14, pad, "en", "a", 1),
         (15, None, None, None, None),
         (16, "", None, None, None),
@@ -156,7 +157,7 @@ def test_leaks(spark, empty):
         (None, ITEMS[1][1], None, None, None),
     ]
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(spark.createDataFrame(data, DOCUMENTS), items).collect()}
-    assert set(got) == {(10, 1), (11, 1), (13, 2), (19, 2), (None, 2)}
+    assert set(got) == {(10, 1), (11, 1), (13, 2), (19, 2), (20, 2), (None, 2)}
     assert got[10, 1]["changed_slots"] == 0 and got[11, 1]["changed_slots"] >= 4
     assert decontam.op8_templates(spark, empty).count() == 0
 

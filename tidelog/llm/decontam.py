@@ -30,9 +30,9 @@ UNITS = (
     "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "degrees",
 )
 
-#: Marks a name: a capitalised word after a lower-case word or a comma, so not at the start of a sentence.
+#: Marks a name: a capitalised word, not all capitals, after a lower-case word or a comma, so not at the start of a sentence.
 MARK = "\ue001"
-NAME = r"(?<=[\p{Ll},;:] )(\p{Lu}[\p{L}\p{M}]*)"
+NAME = r"(?<=[\p{Ll},;:] )(\p{Lu}[\p{Ll}\p{M}]+)(?!\p{L})"
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\x{E001}?[\p{L}\p{M}]+|[%$€£°]"
 
 
