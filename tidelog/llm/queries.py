@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import zipwarc
+from tidelog.llm import oracle, zipwarc
 from tidelog.llm.bpe import op2_automaton_bpe
 from tidelog.llm.decontam import op8_templates
 from tidelog.llm.linkgraph import op1_link_graph
@@ -30,5 +30,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Encoding, fingerprints, ORC files, the slot map and templates have no SQL; tests hold them against brute force."""
-    return {"op9_zip_warc": zipwarc.ORACLE_SQL}
+    """Encoding, fingerprints, trees, ORC files, the slot map and templates have no SQL; tests hold them against brute force."""
+    return {**oracle.ORACLE_SQL, "op9_zip_warc": zipwarc.ORACLE_SQL}
