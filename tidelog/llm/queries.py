@@ -30,5 +30,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Encoding, fingerprints, trees, ORC files, the slot map and templates have no SQL; tests hold them against brute force."""
+    """Encoding, fingerprints, trees, ORC files and the slot map have no SQL; tests hold them against brute force."""
     return {**oracle.ORACLE_SQL, "op9_zip_warc": zipwarc.ORACLE_SQL}
