@@ -94,8 +94,8 @@ def parse(raw: bytes) -> dict:
 class ArchiveWriter:
     """One archive under a temporary name, moved to its own when it is whole."""
 
-    def __init__(self, store: pafs.FileSystem, path: str, attempt: int):
-        self.store, self.path, self.part = store, path, f"{path}.{attempt}.part"
+    def __init__(self, store: pafs.FileSystem, path: str):
+        self.store, self.path, self.part = store, path, f"{path}.part"
         self.raw = store.open_output_stream(self.part)
         self.zip = zipfile.ZipFile(self.raw, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
@@ -198,9 +198,9 @@ def with_revisits(table: DataFrame) -> DataFrame:
 def write(table: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for each page into archives below uri; returns their manifest.
 
-    Each task writes archives of its own, named by its partition, so a task that
-    is run again replaces what it had written.  Memory holds a batch of pages
-    and one archive's index.
+    Each attempt of a task writes archives of its own, and the manifest names
+    those of the attempts that counted, so what a lost or doubled attempt left
+    is never read.  Memory holds a batch of pages and one archive's index.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def write(table: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES) -> Dat
         for b in batches:
             for r in b.to_pylist():
                 if own is None:
-                    own = ArchiveWriter(store, f"{folder}/part-{task.partitionId():06d}-{len(made):04d}.wacz", task.taskAttemptId())
+                    own = ArchiveWriter(store, f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.wacz")
                 own.add(r["page_id"], record(r["page_id"], r["url"], r["html"], r["payload_bytes"], r["payload_digest"], r["refers_to"]))
                 if own.at >= archive_bytes:
                     made.append(own.close())
