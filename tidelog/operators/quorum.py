@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.model import is_tombstone
-from tidelog.operators.lww import latest
+from tidelog.functions.model import LOG_COLUMNS, hlc, is_tombstone
+from tidelog.operators.lww import latest, union
 
 WRITE_QUORUM = 2
 
@@ -43,14 +43,18 @@ def deliver(queue: DataFrame, peers: DataFrame, ok: Column) -> DataFrame:
 
 
 def responses(replicas: dict[str, DataFrame]) -> DataFrame:
-    """replica, key, value, physical_time ...: each replica's own winner of each key."""
-    each = [latest(log).withColumn("replica", F.lit(name)) for name, log in sorted(replicas.items())]
-    return reduce(DataFrame.unionByName, each)
+    """replica, key, value, physical_time ...: each replica's own winner of each key, by one aggregate over all."""
+    tagged = reduce(DataFrame.unionByName, [log.select(*LOG_COLUMNS, F.lit(name).alias("replica")) for name, log in sorted(replicas.items())])
+    best = tagged.groupBy("key", "replica").agg(F.max(hlc()).alias("w"))
+    return best.select("replica", "key", "w.value", "w.physical_time", "w.logical_counter", "w.node_id")
 
 
 def coordinated_get(replicas: dict[str, DataFrame]) -> DataFrame:
-    """key, value and physical_time of the freshest response; a deletion wins like any write and is then dropped."""
-    return latest(responses(replicas)).filter(~is_tombstone(F.col("value"))).select("key", "value", "physical_time")
+    """key, value and physical_time of the freshest response; a deletion wins like any write and is then dropped.
+
+    The freshest of the replicas' winners is the winner over all their rows.
+    """
+    return latest(union(*replicas.values())).filter(~is_tombstone(F.col("value"))).select("key", "value", "physical_time")
 
 
 def read_repair(replicas: dict[str, DataFrame], compat: bool = False) -> DataFrame:
