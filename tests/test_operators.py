@@ -151,6 +151,28 @@ def test_vector_clocks(spark):
     assert (row["m"], row["i"], row["j"]) == ({"a": 2, "b": 2}, {"a": 2, "b": 1, "c": 1}, {"a": 3, "b": 1})
 
 
+def descends(a, b):
+    return all(a.get(n, 0) >= c for n, c in b.items()) and any(n not in b or c > b[n] for n, c in a.items())
+
+
+def test_vector_clock_fold(spark):
+    rnd = random.Random(6)
+    names = ["n0", "n1", "n2"]
+    writes = [(f"k{rnd.randrange(2)}", rnd.choice(names[:2]), s, None if rnd.random() < 0.3 else {n: rnd.randrange(6) for n in rnd.sample(names, rnd.randrange(3))}) for s in range(80)]
+    clocks, want = {}, {}
+    for key, node, seq, client in writes:
+        own = clocks.setdefault((node, key), {})
+        neither = client is not None and not descends(own, client) and not descends(client, own)
+        want[seq] = (neither, neither and own != client)
+        for n, c in (client or {}).items():
+            own[n] = max(own.get(n, 0), c)
+        own[node] = own.get(node, 0) + 1
+        want[seq] += (own[node],)
+    log = spark.createDataFrame(writes, "key string, node_id string, seq long, client map<string,long>")
+    got = clock.fold_writes(log, spark.createDataFrame([(n,) for n in names], "node_id string")).collect()
+    assert {r["seq"]: (r["conflict_compat"], r["conflict_true"], r["own_count"]) for r in got} == want
+
+
 def beats(spark, *each):
     return spark.createDataFrame([(node, t) for node, times in enumerate(each) for t in times], "node long, ms long")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,38 @@ def descends_maps(a: Column, b: Column) -> Column:
     none_greater = F.forall(F.map_keys(b), lambda k: F.coalesce(of(a, k), F.lit(0)) >= of(b, k))
     more = F.exists(F.map_keys(a), lambda k: of(b, k).isNull() | (of(a, k) > of(b, k)))
     return none_greater & more
+
+
+def fold_writes(log: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_id, key, seq, own_count, conflict_compat and conflict_true of every write (key, node_id, seq, client).
+
+    A node takes the writes of a key in the order of seq.  A write with a
+    client's clock (a map, or null) is compared with the clock that the node
+    has, which then takes the greater counts and increments its own.  The fold
+    has a closed form: counts of other nodes are running maxima of the clients'
+    counts, and one's own after i writes is i more than the running maximum of
+    (client's count - writes before it), 0 at least.  nodes (node_id) is
+    metadata: the names that clocks are compared on.
+    """
+    order = Window.partitionBy("node_id", "key").orderBy("seq")
+    numbered = log.select("node_id", "key", "seq", "client", F.row_number().over(order).alias("i"))
+    each = numbered.join(F.broadcast(nodes.select(F.col("node_id").alias("n"))), how="cross").withColumn("k", F.try_element_at("client", F.col("n")))
+    line = Window.partitionBy("node_id", "key", "n").orderBy("seq")
+    until, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("k") - (F.col("i") - 1)
+    own = F.col("n") == F.col("node_id")
+    zero = F.lit(0).cast("bigint")
+    had = F.when(own, F.when(F.col("i") > 1, F.col("i") - 1 + F.greatest(zero, F.max(ahead).over(before)))).otherwise(F.max("k").over(before))
+    has = F.when(own, F.col("i") + F.greatest(zero, F.max(ahead).over(until)))
+    rows = each.select("node_id", "key", "seq", "client", "k", had.alias("had"), has.alias("has"))
+    x, y = F.coalesce("had", zero), F.coalesce("k", zero)
+    node_descends = ~F.bool_or(F.col("k").isNotNull() & (y > x)) & F.bool_or(F.col("had").isNotNull() & (F.col("k").isNull() | (x > y)))
+    client_descends = ~F.bool_or(F.col("had").isNotNull() & (x > y)) & F.bool_or(F.col("k").isNotNull() & (F.col("had").isNull() | (y > x)))
+    out = rows.groupBy("node_id", "key", "seq").agg(
+        F.max("has").alias("own_count"),
+        F.bool_or(F.col("client").isNotNull()).alias("told"),
+        (~node_descends & ~client_descends).alias("neither"),
+        F.bool_or(~F.col("had").eqNullSafe(F.col("k"))).alias("differ"),
+    )
+    compat = F.col("told") & F.col("neither")
+    return out.select("node_id", "key", "seq", "own_count", compat.alias("conflict_compat"), (compat & F.col("differ")).alias("conflict_true"))

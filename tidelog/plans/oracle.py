@@ -156,6 +156,16 @@ SELECT sst_id, count(*) AS asked, count(*) FILTER (member) AS members, count(*)
     "vclock_merge": f"WITH {A_B}, {clocks('A')}, {clocks('B')} SELECT key, node_id, max(cnt) AS cnt FROM (SELECT * FROM clock_A UNION ALL SELECT * FROM clock_B) GROUP BY key, node_id",
     "vclock_descends": f"WITH {COMPARED} SELECT key, a_descends, b_descends FROM compared",
     "vclock_conflicts": f"WITH {COMPARED} SELECT key, NOT a_descends AND NOT b_descends AS conflict_compat, NOT a_descends AND NOT b_descends AND differ AS conflict_true FROM compared",
+    "vclock_writes": f"""WITH {LOG}, numbered AS (SELECT *, row_number() OVER (PARTITION BY node_id, key ORDER BY seq) AS i, seq % 4 > 0 AS told FROM log),
+each AS (SELECT l.node_id, key, seq, i, told, n.n, CASE WHEN told AND n.n = 'node_' || seq % 3 THEN seq % 5 WHEN told AND n.n = 'node_' || (seq + 1) % 3 THEN seq % 7 END AS k
+  FROM numbered l, (SELECT 'node_' || x AS n FROM range(3) t(x)) n),
+lines AS (SELECT *, max(k) OVER b AS k_before, max(k - (i - 1)) OVER b AS ahead_before, max(k - (i - 1)) OVER u AS ahead FROM each
+  WINDOW b AS (PARTITION BY node_id, key, n ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY node_id, key, n ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+rows_ AS (SELECT *, CASE WHEN n <> node_id THEN k_before WHEN i > 1 THEN i - 1 + greatest(0, coalesce(ahead_before, 0)) END AS had, CASE WHEN n = node_id THEN i + greatest(0, coalesce(ahead, 0)) END AS has FROM lines),
+met AS (SELECT node_id, key, seq, max(has) AS own_count, bool_or(told) AS told, bool_or(had IS DISTINCT FROM k) AS differ,
+  NOT bool_or(k IS NOT NULL AND k > coalesce(had, 0)) AND bool_or(had IS NOT NULL AND (k IS NULL OR had > k)) AS node_descends,
+  NOT bool_or(had IS NOT NULL AND had > coalesce(k, 0)) AND bool_or(k IS NOT NULL AND (had IS NULL OR k > had)) AS client_descends FROM rows_ GROUP BY node_id, key, seq)
+SELECT node_id, key, seq, own_count, told AND NOT node_descends AND NOT client_descends AS conflict_compat, told AND NOT node_descends AND NOT client_descends AND differ AS conflict_true FROM met""",
     "heartbeat_intervals": f"WITH {BEATS}, {GAPS} SELECT node, ms, gap_ms FROM gaps",
     "phi_accrual": f"WITH {PHI} SELECT node, n, round(mean_s, 6) AS mean_s, round(sd_s, 6) AS sd_s, round(phi, 6) AS phi, round(phi_monotone, 6) AS phi_monotone FROM phi",
     "phi_dead": f"WITH {PHI} SELECT node FROM phi WHERE phi > 8",

@@ -95,6 +95,14 @@ def replica_clocks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return clock.counts(logs["A"]), clock.counts(logs["B"])
 
 
+def vclock_writes(s: SparkSession, d: str) -> DataFrame:
+    """Writes of which three in four come with a client's clock of two nodes."""
+    name = lambda k: F.concat(F.lit("node_"), ((F.col("seq") + k) % 3).cast("string"))
+    told = F.create_map(name(0), F.col("seq") % 5, name(1), F.col("seq") % 7)
+    nodes = s.range(3).select(F.concat(F.lit("node_"), F.col("id").cast("string")).alias("node_id"))
+    return clock.fold_writes(views.log_events(s, d).withColumn("client", F.when(F.col("seq") % 4 > 0, told)), nodes)
+
+
 def phi(s: SparkSession, d: str) -> DataFrame:
     return detect.phi(views.heartbeats(s, d), views.PROBE_MS)
 
@@ -190,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "vclock_merge": lambda s, d: clock.merge(*replica_clocks(s, d)),
     "vclock_descends": lambda s, d: clock.compare(*replica_clocks(s, d)).select("key", "a_descends", "b_descends"),
     "vclock_conflicts": lambda s, d: clock.compare(*replica_clocks(s, d)).select("key", "conflict_compat", "conflict_true"),
+    "vclock_writes": vclock_writes,
     "heartbeat_intervals": lambda s, d: detect.intervals(views.heartbeats(s, d)),
     "phi_accrual": lambda s, d: rounded(phi(s, d)),
     "phi_dead": lambda s, d: detect.dead(phi(s, d)).select("node"),
