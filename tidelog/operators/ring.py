@@ -75,8 +75,8 @@ def replicas(keys: DataFrame, peers: DataFrame, n: int = REPLICAS, vnodes: int |
     for each node.  With n nodes or fewer every key is on all of them, in ring
     order for vnodes None and in name order otherwise.
     """
-    few = peers.agg(F.count(F.lit(1)).alias("n")).first()["n"] <= n
-    if few and vnodes is not None:
+    peers = metadata(peers)
+    if vnodes is not None and peers.count() <= n:
         named = peers.select(F.row_number().over(Window.orderBy("node_id")).cast("bigint").alias("rank"), "node_id")
         return keys.select("key").join(F.broadcast(named), how="cross")
     ring = points(peers, vnodes)
@@ -89,8 +89,14 @@ def capacity(loads: DataFrame) -> DataFrame:
     return loads.agg(mean.cast("bigint").alias("avg_load"), F.greatest(F.ceil(F.lit(HEADROOM) * mean), F.lit(LEAST_CAPACITY)).cast("bigint").alias("capacity"))
 
 
+def metadata(nodes: DataFrame) -> DataFrame:
+    """A table with a row for each node, as a local one: what made it runs once, however often it is read."""
+    return nodes.sparkSession.createDataFrame(nodes.collect(), nodes.schema)
+
+
 def bounded(keys: DataFrame, loads: DataFrame, n: int = REPLICAS) -> DataFrame:
     """key, rank, node_id: as replicas without virtual nodes, but nodes at their capacity come last."""
+    loads = metadata(loads)
     ring = points(loads, None)
     full = loads.join(F.broadcast(capacity(loads)), how="cross").select("node_id", (F.col("load") >= F.col("capacity")).alias("full"))
     order = Window.partitionBy("point").orderBy("full", "dist", "node_id")
