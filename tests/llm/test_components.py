@@ -35,7 +35,7 @@ def test_components(spark, monkeypatch, shape):
     edges = [(a, b) for a, b in SHAPES[shape] if a != b]
     written = []
     whole = module.stored
-    monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or whole(df, name))
+    monkeypatch.setattr(module, "stored", lambda df, name, paths=None: written.append(name) or whole(df, name, paths))
     got = module.components(spark.createDataFrame(SHAPES[shape], "a long, b long"))
     assert {r["node"]: r["label"] for r in got.collect()} == brute_force(edges)
     assert written.count("edges") <= 8 and written.count("pointers") <= 30

@@ -32,13 +32,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df as a table written in the shared folder: cuts lineage, survives lost executors.
+
+    paths: gets the table's path, for discard() once all that reads it is written.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for operators that carry whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

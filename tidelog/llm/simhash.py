@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.common import documents, small_batches, stored, text_of
+from tidelog.llm.common import discard, documents, small_batches, stored, text_of
 
 SHINGLE = 4
 SEED = 42
@@ -160,16 +160,18 @@ def neighbours(which: Column, fp: Column) -> Column:
     return F.transform(flips, lambda f: fp.bitwiseXOR(f))
 
 
-def link_edges(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+def link_edges(fps: DataFrame, long_list: int = LONG_LIST, paths: list[str] | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct fingerprints fps(fp)."""
-    index = stored(postings(fps), "byte-index")
-    long = stored(index.groupBy("which", "key").count().filter(F.col("count") > long_list).select("which", "key"), "long-lists")
+    index = stored(postings(fps), "byte-index", paths)
+    long = index.groupBy("which", "key").count().filter(F.col("count") > long_list).select("which", "key")
     has_long = bool(long.take(1))
+    if has_long:
+        long = stored(long, "long-lists", paths)
     short = index.join(long, ["which", "key"], "left_anti") if has_long else index
     grouped = short.repartition("which", "key").sortWithinPartitions("which", "key", "fp")
     edges = grouped.mapInArrow(list_edges, "a long, b long")
     if has_long:
-        shared = index.join(long, ["which", "key"], "left_semi").select("which", "fp", F.explode(neighbours(F.col("which"), F.col("fp"))).alias("near"))
+        shared = index.join(long, ["which", "key"], "left_semi").select("which", "fp", F.explode_outer(neighbours(F.col("which"), F.col("fp"))).alias("near"))
         # the list's key is part of the neighbour: groups of one choice and neighbour are of one list
         least = shared.groupBy("which", "near").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a <> top").drop("top")
         edges = edges.unionByName(shared.join(least, ["which", "near"]).filter("a <> fp").select("a", F.col("fp").alias("b")))
@@ -189,7 +191,9 @@ def link(docs: DataFrame, long_list: int = LONG_LIST, carry: tuple[str, ...] = (
     small_batches(docs.sparkSession)
     own = stored(docs.select("doc_id", *carry, fingerprints(text_of()).alias("fp")), "fingerprints")
     least = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    edges = stored(link_edges(least.select("fp"), long_list), "links")
+    paths: list[str] = []
+    edges = stored(link_edges(least.select("fp"), long_list, paths), "links")
+    discard(docs.sparkSession, paths)
     labels = components(edges)  # node, label: only fingerprints that have links
     named = least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     component = named.groupBy("label").agg(F.min("least").alias("component_id"))
