@@ -74,7 +74,8 @@ def measure_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def base_measures(text: Column) -> Column:
-    return F.arrow_udf(measure_batches, BASE)(text)
+    """The measures; said to be nondeterministic so that no filter is moved below them and has them, and all before, made twice."""
+    return F.arrow_udf(measure_batches, BASE).asNondeterministic()(text)
 
 
 def line_hash(line: Column) -> Column:
@@ -95,7 +96,7 @@ def frequent_lines(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE
     an average document.
     """
     own = docs.select(F.col("source").alias("host"), F.xxhash64(text_of()).alias("content"), lines_of(text_of()).alias("lines"))
-    hashed = own.select("host", "content", F.explode(F.array_distinct(F.transform("lines", line_hash))).alias("line"))
+    hashed = own.select("host", "content", F.explode_outer(F.array_distinct(F.transform("lines", line_hash))).alias("line"))
     # hash 0, the line without words, isn't counted as a line; as every document is given it once, it counts documents
     every = own.select("host", "content", F.lit(0).cast("long").alias("line"))
     counted = (
@@ -130,19 +131,19 @@ def judge(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) ->
     furniture = broadcast_if_small(stored(frequent_lines(docs, share, least), "furniture"), F.size("furniture") * 8)
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_removed_lines", "kept", "host", "furniture", "base")
     docs = docs.drop(*added)
-    base = docs.withColumn("base", base_measures(text_of()))
-    joined = base.join(furniture, F.col("source").eqNullSafe(F.col("host")), "left").drop("host")
+    joined = docs.join(furniture, F.col("source").eqNullSafe(F.col("host")), "left").drop("host")
     lines = lines_of(F.col("text"))
     kept_lines = F.filter(lines, lambda x: ~F.array_contains(F.col("furniture"), line_hash(x)))
     some = F.col("furniture").isNotNull() & F.col("text").isNotNull()
-    failed = (F.col("base.n_words") < LEAST_DOC_WORDS) | (100 * F.col("base.n_repeat_words") > MOST_REPEAT_PERCENT * F.col("base.n_words"))
     out = (
         joined.withColumn("kept_lines", F.when(some, kept_lines))
         .withColumn("n_removed_lines", F.coalesce(F.size(lines) - F.when(F.col("kept_lines").isNotNull(), F.size("kept_lines")), F.lit(0)).cast("long"))
         .withColumn("clean_text", F.when(F.col("n_removed_lines") > 0, F.array_join("kept_lines", "\n")).otherwise(F.col("text")))
         .withColumn("left_words", F.when(F.col("n_removed_lines") > 0, words_in(F.col("clean_text"))))
-        .withColumn("base_failed", failed)
+        .withColumn("base", base_measures(text_of()))
     )
+    failed = (F.col("base.n_words") < LEAST_DOC_WORDS) | (100 * F.col("base.n_repeat_words") > MOST_REPEAT_PERCENT * F.col("base.n_words"))
+    out = out.withColumn("base_failed", failed)
     depleted = (F.col("left_words") < LEAST_WORDS) | (F.col("left_words") < LEAST_SHARE * F.col("base.n_words"))
     return out.select(
         *docs.columns,
