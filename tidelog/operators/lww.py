@@ -14,8 +14,13 @@ from tidelog.functions.model import LOG_COLUMNS, TOMBSTONE, hlc, is_tombstone
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The winning row of every key, deletions included.  Combined before its only shuffle."""
-    return log.groupBy("key").agg(F.max(hlc()).alias("w")).select("key", "w.value", "w.physical_time", "w.logical_counter", "w.node_id")
+    """The winning row of every key, deletions included.  Combined before its only shuffle.
+
+    Strings in the winner make this a sorting aggregate; the key's hash as the
+    first grouping column lets it sort by a number.
+    """
+    best = log.groupBy(F.xxhash64("key").alias("hash"), "key").agg(F.max(hlc()).alias("w"))
+    return best.select("key", "w.value", "w.physical_time", "w.logical_counter", "w.node_id")
 
 
 def live(state: DataFrame) -> DataFrame:
