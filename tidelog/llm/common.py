@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +55,27 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once in an application, by way of the shared folder."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, "_tidelog_shipped", False) or not package.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for part in sorted(package.rglob("*.py")):
+            z.write(part, f"{package.name}/{part.relative_to(package)}")
+    path = f"{scratch_path(spark, 'code')}.zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path)
+    context._tidelog_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for operators that carry whole texts."""
+    """Before Python works on texts: ship the package, and bound the rows of an Arrow batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -127,6 +127,7 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) ->
     are skipped by their statistics and Bloom filters.  The bases are of the
     lengths column alone.
     """
+    small_batches(spark)
     files = spark.read.schema(SCHEMA).orc(folder)
     named = files.select("*", F.col("_metadata.file_name").alias("file"))
     totals = stored(named.groupBy("file").agg(F.sum("n_tokens").alias("total")), "orc-files")

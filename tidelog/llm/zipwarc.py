@@ -250,6 +250,7 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
                     p += n
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
+    small_batches(manifest.sparkSession)
     listed = manifest.select("archive").repartition("archive").mapInArrow(places, "archive string, first long, lengths array<long>")
     return listed.repartition("archive", "first").mapInArrow(load, RECORDS)
 
