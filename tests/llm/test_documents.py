@@ -36,6 +36,38 @@ def test_bpe_equals_library(spark, folder):
     assert rows(bpe.op2_automaton_bpe(spark, folder)) == want
 
 
+def test_bpe_parts_and_chunks(spark, odd):
+    """encode and decode apart give what tokenize gives; columns with clashing names are replaced."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    path = bpe.default_path()
+    whole = bpe.tokenize(docs)
+    assert set(whole.columns) == set(docs.columns) | {"ids", "decoded"}
+    apart = docs.select("doc_id", bpe.encode(F.col("text"), path).alias("ids")).withColumn("decoded", bpe.decode(F.col("ids"), path))
+    key = lambda df: Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in df.collect())
+    assert key(whole) == key(apart)
+
+
+def test_encoding_of_odd_texts_equals_library():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidelog.llm import orc_tokens
+
+    rnd = random.Random(2)
+    letters = "abcXYZ'sStTlLdDmM.,;:!?()<|> \t\n\r\x0b\x0c\x1c\x85\xa0é\u0301ßİΣ日9½²\0endoftext"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(4000)] + ["<|startoftext|><|endoftext|>x", "A\u030a b.\u0301 c,", "it's, he'll. a)., (b.) c.."]
+    own = Tokenizer.from_file(bpe.default_path())
+    for part in (texts, [t for t in texts if "<|" not in t]):
+        want = [own.encode(t, add_special_tokens=False).ids for t in part]
+        for encode in (bpe.codec(bpe.default_path()).encode_many, orc_tokens.library_table(bpe.default_path()).ids):
+            flat, ends = encode(pa.array(part))
+            assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
 def components_by_brute_force(docs):
     import xxhash
 

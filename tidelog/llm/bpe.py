@@ -236,32 +236,48 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def texts(own: Codec, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The labels of ids that stand in a row, joined for each text."""
+    labels = own.labels[flat]
+    return pa.array([" ".join(labels[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+
+
 def encode(text: Column, path: str) -> Column:
     """Token ids of a text: array<int>, empty for a null or empty text."""
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
-        for texts in batches:
-            flat, ends = own.encode_many(texts)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        for b in batches:
+            yield lists(*own.encode_many(b))
 
-    return ids(text)
+    return F.arrow_udf(run, "array<int>")(text)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of token ids, special tokens included; empty for no ids or null."""
 
-    @F.arrow_udf("string")
-    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path)
+        for b in batches:
+            yield texts(own, b.values.to_numpy(zero_copy_only=False), b.offsets.to_numpy())
+
+    return F.arrow_udf(run, "string")(ids)
+
+
+def encode_and_decode(text: Column, path: str) -> Column:
+    """Both in one pass of Python: struct<ids, decoded>, decoded from the ids."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
-        for rows in batches:
-            flat = rows.values.to_numpy(zero_copy_only=False)
-            ends = rows.offsets.to_numpy()
-            labels = own.labels[flat]
-            yield pa.array([" ".join(labels[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        for b in batches:
+            flat, ends = own.encode_many(b)
+            yield pa.StructArray.from_arrays([lists(flat, ends), texts(own, flat, ends)], ["ids", "decoded"])
 
-    return text(ids)
+    return F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")(text)
 
 
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -273,7 +289,8 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     path = path or default_path()
-    return docs.withColumn("ids", encode(text_of(), path)).withColumn("decoded", decode(F.col("ids"), path))
+    both = docs.drop("ids", "decoded").withColumn("both_", encode_and_decode(text_of(), path))
+    return both.withColumns({"ids": F.col("both_.ids"), "decoded": F.col("both_.decoded")}).drop("both_")
 
 
 def digests() -> list[Column]:
