@@ -16,8 +16,9 @@ LOCAL_FOLDER = "file:///tmp/checkpoints/tidelog"
 #: A side may be broadcast when its rows, measured, take no more bytes than this.
 BROADCAST_BYTES = 48 << 20
 
-#: Documents per Arrow batch: long texts must not add up to more than a worker can hold.
+#: Rows and bytes of an Arrow batch: long texts must not add up to more than a worker can hold.
 ARROW_ROWS = 500
+ARROW_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,10 +74,11 @@ def ship(spark: SparkSession) -> None:
     context._tidelog_shipped = True
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Before Python works on texts: ship the package, and bound the rows of an Arrow batch."""
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Before Python works on texts: ship the package, and bound an Arrow batch."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def broadcast_if_small(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -44,8 +44,8 @@ class _Rows(dict):
 class TokenTable:
     """encode_many: from a list of chunks to the sizes of their id lists and all ids in a row."""
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = WORDS_KEPT):
+        self.encode_many, self.kept = encode_many, kept
         self.rows = _Rows()
         self.met = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
@@ -69,7 +69,7 @@ class TokenTable:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts: all of them in a row, and where each text's ids begin and end."""
-        if len(self.rows) > WORDS_KEPT:
+        if len(self.rows) > self.kept:
             self._thin()
         chunks, ends = chunks_of(texts)
         coded = chunks.dictionary_encode()
