@@ -38,17 +38,25 @@ class Rule:
         return f"{self.name}@{self.version}"
 
 
+#: A key's span runs to its END line, or else over the base64 lines that follow.
+PEM_HEAD = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+
 #: Fixed patterns, in the order in which equal starts are listed.
 RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]+", 0, 24),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, False),
+    Rule("pem", 2, PEM_HEAD + r"(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/]{16,}={0,2})+(?:\s+[A-Za-z0-9+/]{1,15}={0,2})?|)", 0, 1, False),
     Rule("forge", 1, r"\bgh[pousr]_[A-Za-z0-9]{36}", 0, 1, False),
 )
 
-#: Runs of a class can be sought with the least length in the pattern: shorter runs match nothing else.
-SOUGHT = {("access", 1): r"AKIA[A-Z0-9]{16,}+", ("hex", 1): r"[0-9a-f]{24,}+"}
+#: Runs of a class can be sought with the least length in the pattern: shorter runs match nothing else.  Possessive
+#: groups match the same and don't recurse on long texts.
+SOUGHT = {
+    ("access", 1): r"AKIA[A-Z0-9]{16,}+",
+    ("hex", 1): r"[0-9a-f]{24,}+",
+    ("pem", 2): PEM_HEAD + r"(?:[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s++[A-Za-z0-9+/]{16,}+={0,2}+)++(?:\s+[A-Za-z0-9+/]{1,15}={0,2})?|)",
+}
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
