@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontam, quality, secrets, simhash
-from tidelog.llm.common import broadcast_if_small, documents, scratch_path, stored
+from tidelog.llm import bpe, decontam, jaccard, quality, secrets, simhash
+from tidelog.llm.common import broadcast_if_small, documents, scratch_path, stored, text_of
 
 
 def row_key() -> Column:
@@ -54,6 +54,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unpacked(once.join(stay, "key_", "left_semi"), docs)
 
 
+def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of texts linked by five-word similarity of 0.8 or more the document with the least doc_id stays."""
+    text = F.xxhash64(text_of())
+    texts = stored(docs.select(text.alias("t"), text_of().alias("text")).dropDuplicates(["t"]), "texts")
+    labels = jaccard.labels(texts).select(F.col("node").alias("t_"), F.col("label").alias("group_"))
+    rows = packed(docs, row_key().alias("key_"), text.alias("t_"))
+    linked = stored(rows.select("doc_id", "key_", "t_").join(broadcast_if_small(stored(labels, "labels"), F.lit(16)), "t_"), "linked")
+    first = linked.groupBy("group_").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("first"))
+    gone = stored(linked.join(first, "group_").filter("key_ <> first.key_").select("key_").distinct(), "similar")
+    return unpacked(rows.join(broadcast_if_small(gone, F.octet_length("key_")), "key_", "left_anti"), docs)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies go: those by fingerprints, and of what stays those by five-word similarity."""
+    return similar_dedup(spark, stored(near_dedup(spark, docs, sf_dir), "fingerprints-apart"), sf_dir)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
@@ -76,7 +93,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_dedup),
+    ("SimHash near-dedup", dedup),
     ("benchmark decontamination", decontaminate),
     ("secret scans", scan_secrets),
     ("BPE encoding and decoding", tokenize),

@@ -92,3 +92,38 @@ def test_whole_run(spark, small, empty):
     assert {r["doc_id"]: r["ids"] for r in got.collect()} == want and len(want) > 50
     assert got.filter(F.size("ids") != F.col("n_tokens")).count() == 0
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_dedup_stage_reaches_similarity(spark, empty):
+    """Edited copies at five-word similarity 0.8 or more meet in one document; less similar ones stay."""
+    import random
+
+    from tidelog.llm import jaccard
+
+    rnd = random.Random(9)
+    data = []
+    for k in range(40):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        data.append((10 * k, " ".join(words)))
+        for j in range(1, 4):
+            other = list(words)
+            for _ in range(2 * j + 1):
+                other[rnd.randrange(200)] = f"x{rnd.randrange(10**6)}"
+            data.append((10 * k + j, " ".join(other)))
+    sets = {i: set(jaccard.shingles(t).tolist()) for i, t in data}
+    parent = {i: i for i, _ in data}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    close = [(a, b) for a in parent for b in parent if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in close:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, empty).collect()}
+    assert len(close) > 40
+    assert not [(a, b) for a, b in close if a in kept and b in kept]
+    apart = {r["doc_id"] for r in corpus_pipeline.similar_dedup(spark, docs, empty).collect()}
+    assert apart == {i for i in parent if root(i) == i}
