@@ -174,3 +174,25 @@ def test_leaks_equal_brute_force(spark, medium):
         want |= {(i, k) for k, w in items.items() if f" {' '.join(w)} " in run}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.op8_templates(spark, medium).collect()}
     assert got == want and want
+
+
+def held(spark, asked, docs):
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontam.leaks(frame, items).collect()}
+
+
+def test_leaks_of_items_with_many_slots(spark):
+    """Number-dense and short items, copied verbatim and asked again."""
+    asked = [
+        "A car drives 60 km in 2 hours, 90 km in 3 hours and 150 km in 5 hours.",
+        "Compute 12 + 7 - 3 + 45 - 6. Then add 8 + 9 - 14 + 2.",
+        "What is 17 * 23 + 4?",
+        "小明有五个苹果，他吃了两个，还剩几个？",
+        "3 + 4 + 5 + 6 + 7 + 8 = ?",
+    ]
+    pad = "some clean sentence goes on and on. "
+    docs = [pad + x + " " + pad for x in asked]
+    docs += ["A car drives 70 km in 4 hours, 80 km in 6 hours and 160 km in 7 hours.", "Compute 13 + 8 - 4 + 46 - 7. Then add 5 + 10 - 15 + 3."]
+    docs += ["A car drives 60 km in the rain.", "Compute 1 or 2. What is 18 * 24 + 5?", "1 2 3 4 5 6 then 9 9 9 9"]
+    assert held(spark, asked, docs) == {(k, k) for k in range(5)} | {(5, 0), (6, 1)}
