@@ -196,3 +196,19 @@ def test_leaks_of_items_with_many_slots(spark):
     docs += ["A car drives 70 km in 4 hours, 80 km in 6 hours and 160 km in 7 hours.", "Compute 13 + 8 - 4 + 46 - 7. Then add 5 + 10 - 15 + 3."]
     docs += ["A car drives 60 km in the rain.", "Compute 1 or 2. What is 18 * 24 + 5?", "1 2 3 4 5 6 then 9 9 9 9"]
     assert held(spark, asked, docs) == {(k, k) for k in range(5)} | {(5, 0), (6, 1)}
+
+
+def test_leaks_with_names_that_begin_sentences(spark):
+    asked = [
+        "Tom has 5 apples. Ann has 3 apples. Bob has 7 apples. How many apples are there in all?",
+        "Tom has 5 apples. Ann has 3. Who has more?",
+        "The old mill by the river was built long ago. Then Tom sold it.",
+    ]
+    docs = [
+        "Sam has 6 apples. Eve has 2 apples. Max has 9 apples. How many apples are there in all?",
+        "Read this.\nSam has 6 apples.\nEve has 2. Who has more?",
+        '"Sam has 6 apples. Sam buys 2. Who is it?"',
+        "The old mill by the river was built long ago. Then Tom sold it.",
+        "sam has 6 pears and eve has 2 of them, who has more?",
+    ]
+    assert held(spark, asked, docs) == {(0, 0), (1, 1), (3, 2)}
