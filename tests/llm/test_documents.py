@@ -102,9 +102,9 @@ def test_simhash(spark, folder):
     assert rows(simhash.op3_byte_index(spark, folder)) == components_by_brute_force(documents_of(spark, folder))
 
 
-@pytest.mark.parametrize("long_list", [4, 2048])
+@pytest.mark.parametrize("long_list", [1, 4, 40, 2048])
 def test_simhash_links(spark, long_list):
-    """Chains and balls of near fingerprints, through short and through split lists."""
+    """Chains and balls of near fingerprints, through lists of one position and through lists split at every depth."""
     import random
 
     rnd = random.Random(5)
@@ -264,3 +264,26 @@ def test_growth_moves_into_the_new_shard_only():
     old = slots.even_map(512, 7)
     new = slots.grown(old, 7)
     assert all(a == b or b == 7 for a, b in zip(old, new)) and 60 <= new.count(7) <= 64
+
+
+def test_count_filter_rejects_pairs():
+    """Of the pairs that meet in a list most share too few bytes; each pair that has the minimum is retained in one list."""
+    import random
+    from itertools import combinations
+
+    import numpy as np
+
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(400)]
+    fps = np.array(sorted({x ^ (rnd.getrandbits(64) & rnd.getrandbits(64) & rnd.getrandbits(64) if k else 0) for x in base for k in range(3)}), np.uint64)
+    met, got = 0, []
+    for which in simhash.first_positions(1):
+        (p,) = simhash.positions_of(which)
+        byte = (fps >> np.uint64(8 * p)) & np.uint64(255)
+        for value in np.unique(byte):
+            own = fps[byte == value]
+            met += len(own) * (len(own) - 1) // 2
+            got += [(int(own[i]), int(own[j])) for i, later in simhash.retained(own, which) for j in later]
+    want = {(int(a), int(b)) for a, b in combinations(fps, 2) if sum(x == y for x, y in zip(int(a).to_bytes(8), int(b).to_bytes(8))) >= 4}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < len(want) < met / 10

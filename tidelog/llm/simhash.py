@@ -2,17 +2,23 @@
 
 A 64-bit fingerprint is eight bytes.  Fingerprints that differ in at most 4 bits
 differ in at most 4 bytes, so they share at least 4 positional bytes: that is
-the guaranteed minimum.  The index is keyed by every choice of 4 positions with
-their bytes (70 postings for a fingerprint), so that exactly the pairs that
-reach the minimum meet.  In a posting list the shared positional bytes of a pair
-are tallied, the pair is taken in the list of its first 4 shared positions
-alone, and then verified by its differing bits.
-
-Pairs aren't written out.  A posting list gives the edges of a spanning forest
-of its links.  Lists of more than LONG_LIST fingerprints are split up exactly:
-within a list 32 bits are open, and two fingerprints differ in at most 4 of
-them if and only if they share a neighbour within 2 bits; so each emits its 529
-neighbours, and members of a neighbour's group are linked to its least member.
+the guaranteed minimum.  The index has a posting list for every position and
+byte.  In a list the shared positional bytes of each pair are tallied, pairs
+that reach the minimum are retained, and these are verified by their differing
+bits.  A pair is taken in the list of its first shared position alone, so the
+last three positions need no lists.
+
+Lists grow with the input, and pairs with their square; so a list of more than
+LONG_LIST fingerprints is split exactly: as a retained pair shares further
+positions, the list is split by each of the next positions' bytes, and the pair
+is taken in the list of its first 2 (3, 4) shared positions.  Where all lists
+would be longer, the index begins with 2 (3, 4) positions at once.  In a list of
+4 positions that is still long every pair has the minimum; 32 bits are open
+there, and two fingerprints differ in at most 4 of them if and only if they
+share a neighbour within 2 bits; so each emits its 529 neighbours, and members
+of a neighbour's group are linked to its least member.
+
+Pairs aren't written out: a list gives the edges of a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -36,7 +42,8 @@ BYTES = 8
 SHARED_BYTES = BYTES - MOST_BITS
 LONG_LIST = 2048
 
-CHOICES = list(combinations(range(BYTES), SHARED_BYTES))
+#: Rows of a block of pairs that are tallied at once.
+BLOCK = 64
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -76,42 +83,76 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def masks() -> list[int]:
-    """For each choice of positions the mask of its bytes, signed."""
-    out = []
-    for choice in CHOICES:
-        m = sum(0xFF << (8 * p) for p in choice)
-        out.append(m - (1 << 64) if m >> 63 else m)
-    return out
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def postings(fps: DataFrame) -> DataFrame:
-    """fp -> one row for each choice: which, key (the chosen bytes) and fp."""
-    choice = F.posexplode(F.from_json(F.lit(str(masks())), "array<bigint>")).alias("which", "mask")
-    return fps.select("fp", choice).select(F.col("which").cast("short").alias("which"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+def positions_of(which: int) -> list[int]:
+    """The positions of a list, which names them by bits."""
+    return [p for p in range(BYTES) if which >> p & 1]
+
+
+def first_positions(depth: int) -> list[int]:
+    """Every choice of positions, as bits, that can be the first `depth` of SHARED_BYTES shared ones."""
+    last = MOST_BITS + depth  # of the positions after the last one, enough must be left
+    return [sum(1 << p for p in choice) for choice in combinations(range(last), depth)]
+
+
+def mask_of(which: int) -> int:
+    return signed(sum(0xFF << (8 * p) for p in positions_of(which)))
+
+
+def postings(fps: DataFrame, depth: int = 1) -> DataFrame:
+    """fp -> a row for each of its lists: which (positions), key (their bytes) and fp."""
+    pairs = [[w, mask_of(w)] for w in first_positions(depth)]
+    choice = F.explode(F.from_json(F.lit(str(pairs)), "array<array<bigint>>")).alias("x")
+    return fps.select("fp", choice).select(F.col("x")[0].cast("short").alias("which"), F.col("fp").bitwiseAND(F.col("x")[1]).alias("key"), "fp")
+
+
+def split_further(lists: DataFrame, depth: int) -> DataFrame:
+    """The rows of lists of `depth` positions, one for each next position."""
+    onward = []  # by which: pairs of the longer choice and its mask
+    for which in range(1 << BYTES):
+        grown = [which | 1 << p for p in range(which.bit_length(), MOST_BITS + depth + 1)] if bin(which).count("1") == depth else []
+        onward.append([[w, mask_of(w)] for w in grown])
+    table = F.from_json(F.lit(str(onward)), "array<array<array<bigint>>>")
+    longer = lists.select("fp", F.explode_outer(F.element_at(table, F.col("which").cast("int") + 1)).alias("x"))
+    return longer.select(F.col("x")[0].cast("short").alias("which"), F.col("fp").bitwiseAND(F.col("x")[1]).alias("key"), "fp")
+
+
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """How many of the eight bytes are zero in each of the differences x."""
+    y = x | (x >> np.uint64(4))
+    y |= y >> np.uint64(2)
+    y |= y >> np.uint64(1)
+    return BYTES - np.bitwise_count(y & np.uint64(0x0101010101010101))
+
+
+def retained(fps: np.ndarray, which: int) -> Iterator[tuple[int, np.ndarray]]:
+    """i and the later j of the pairs of a list that reach the minimum of shared bytes and have it as their first list."""
+    positions = positions_of(which)
+    before = [np.uint64(0xFF << (8 * p)) for p in range(positions[-1]) if p not in positions]
+    for k in range(0, len(fps) - 1, BLOCK):
+        x = fps[k : k + BLOCK, None] ^ fps[None, k + 1 :]
+        met = shared_bytes(x) >= SHARED_BYTES
+        rows, columns = np.nonzero(met)
+        fits = columns >= rows  # column c is fingerprint k + 1 + c
+        for mask in before:  # sharing an earlier position, the pair is another list's
+            fits &= x[rows, columns] & mask != 0
+        rows, columns = rows[fits], columns[fits]
+        for i in np.unique(rows):
+            yield k + int(i), k + 1 + columns[rows == i]
 
 
 def spanning(fps: np.ndarray, which: int) -> list[tuple[int, int]]:
-    """Edges that connect what is linked within one posting list (sorted, distinct fingerprints)."""
-    positions = CHOICES[which]
-    n = len(fps)
-    label = np.arange(n)
-    for i in range(n - 1):
-        other = fps[i] ^ fps[i + 1 :]
-        near = np.bitwise_count(other) <= MOST_BITS
-        if not near.any():
-            continue
-        at = np.flatnonzero(near)
-        same = other[at].view(np.uint8).reshape(-1, BYTES) == 0  # little-endian: column p is byte p
-        tally = same.sum(axis=1)
-        # of the lists in which a pair meets, the first 4 shared positions name the one that takes it
-        first = same & (np.cumsum(same, axis=1) <= SHARED_BYTES)
-        own = (tally >= SHARED_BYTES) & first[:, list(positions)].all(axis=1)
-        linked = label[at[own] + i + 1]
-        if len(linked):
+    """Edges that connect what is linked within one list (sorted, distinct fingerprints)."""
+    label = np.arange(len(fps))
+    for i, later in retained(fps, which):
+        linked = label[later[np.bitwise_count(fps[later] ^ fps[i]) <= MOST_BITS]]
+        if len(linked) and (linked != label[i]).any():
             group = np.unique(np.append(linked, label[i]))
             label[np.isin(label, group)] = group[0]
-    return [(int(fps[label[k]]), int(fps[k])) for k in range(n) if label[k] != k]
+    return [(int(fps[label[k]]), int(fps[k])) for k in range(len(fps)) if label[k] != k]
 
 
 def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,31 +191,50 @@ def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbours(which: Column, fp: Column) -> Column:
-    """The fingerprints within 2 bits of fp in the bytes that the choice leaves open."""
+    """The fingerprints within 2 bits of fp in the bytes that a list of 4 positions leaves open."""
     every = []
-    for choice in CHOICES:
-        bits = [8 * p + k for p in range(BYTES) if p not in choice for k in range(8)]
-        flips = [0, *(1 << b for b in bits), *((1 << b) | (1 << c) for b, c in combinations(bits, 2))]
-        every.append([f - (1 << 64) if f >> 63 else f for f in flips])
+    for w in range(1 << BYTES):
+        bits = [8 * p + k for p in range(BYTES) if not w >> p & 1 for k in range(8)] if bin(w).count("1") == SHARED_BYTES else []
+        flips = [0, *(1 << b for b in bits), *((1 << b) | (1 << c) for b, c in combinations(bits, 2))] if bits else []
+        every.append([signed(f) for f in flips])
     flips = F.element_at(F.from_json(F.lit(str(every)), "array<array<bigint>>"), which.cast("int") + 1)
     return F.transform(flips, lambda f: fp.bitwiseXOR(f))
 
 
+def neighbour_edges(lists: DataFrame) -> DataFrame:
+    """Edges of the long lists of 4 positions: members of a neighbour's group with its least member."""
+    shared = lists.select("which", "fp", F.explode_outer(neighbours(F.col("which"), F.col("fp"))).alias("near"))
+    # the list's key is part of the neighbour: groups of one choice and neighbour are of one list
+    least = shared.groupBy("which", "near").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a <> top").drop("top")
+    return shared.join(least, ["which", "near"]).filter("a <> fp").select("a", F.col("fp").alias("b"))
+
+
 def link_edges(fps: DataFrame, long_list: int = LONG_LIST, paths: list[str] | None = None) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the distinct fingerprints fps(fp)."""
-    index = stored(postings(fps), "byte-index", paths)
-    long = index.groupBy("which", "key").count().filter(F.col("count") > long_list).select("which", "key")
-    has_long = bool(long.take(1))
-    if has_long:
-        long = stored(long, "long-lists", paths)
-    short = index.join(long, ["which", "key"], "left_anti") if has_long else index
-    grouped = short.repartition("which", "key").sortWithinPartitions("which", "key", "fp")
-    edges = grouped.mapInArrow(list_edges, "a long, b long")
-    if has_long:
-        shared = index.join(long, ["which", "key"], "left_semi").select("which", "fp", F.explode_outer(neighbours(F.col("which"), F.col("fp"))).alias("near"))
-        # the list's key is part of the neighbour: groups of one choice and neighbour are of one list
-        least = shared.groupBy("which", "near").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a <> top").drop("top")
-        edges = edges.unionByName(shared.join(least, ["which", "near"]).filter("a <> fp").select("a", F.col("fp").alias("b")))
+    """Edges (a, b) whose components are those of all links between the distinct fingerprints fps(fp), a written table.
+
+    The lengths of lists are counted with map-side combine, so a list that takes
+    a large part of all fingerprints is never one task's.
+    """
+    depth, many = 1, fps.count()
+    while depth < SHARED_BYTES and many > long_list * 256**depth:
+        depth += 1
+    index, parts = stored(postings(fps, depth), "byte-index", paths), []
+    while True:
+        long = stored(index.groupBy("which", "key").count().filter(F.col("count") > long_list).select("which", "key"), "long-lists", paths)
+        any_long = bool(long.take(1))
+        short = index.join(long, ["which", "key"], "left_anti") if any_long else index
+        parts.append(short.repartition("which", "key").sortWithinPartitions("which", "key", "fp").mapInArrow(list_edges, "a long, b long"))
+        if not any_long:
+            break
+        rest = index.join(long, ["which", "key"], "left_semi")
+        if depth == SHARED_BYTES:
+            parts.append(neighbour_edges(rest))
+            break
+        index = stored(split_further(rest, depth), "byte-index", paths)
+        depth += 1
+    edges = parts[0]
+    for part in parts[1:]:
+        edges = edges.unionByName(part)
     return edges.distinct()
 
 
