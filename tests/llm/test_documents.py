@@ -68,6 +68,55 @@ def test_encoding_of_odd_texts_equals_library():
             assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
 
 
+def merged(word, merges):
+    """Greedy merging of a list of symbols, the plain way."""
+    for a, b in merges:
+        out, k = [], 0
+        while k < len(word):
+            if word[k : k + 2] == [a, b]:
+                out.append(a + b)
+                k += 2
+            else:
+                out.append(word[k])
+                k += 1
+        word = out
+    return word
+
+
+def test_automaton_accepts_what_greedy_merging_yields():
+    """Random merges: an arc for each pair that merging leaves alone, walks as by merging, one step of the table for each token."""
+    import random
+    from itertools import product
+
+    rnd = random.Random(9)
+    letters = [x + e for x in "abc" for e in ("", "</w>")]
+    for _ in range(60):
+        vocab, merges = {x: k for k, x in enumerate(letters)}, []
+        for _ in range(rnd.randrange(1, 14)):
+            a = rnd.choice([t for t in vocab if not t.endswith("</w>")])
+            b = rnd.choice(list(vocab))
+            if a + b not in vocab:
+                vocab[a + b] = len(vocab)
+                merges.append((a, b))
+        own = bpe.Automaton(vocab, merges)
+        names = {k: t for t, k in vocab.items()}
+        for size in range(1, 7):
+            for word in product("abc", repeat=size):
+                want = merged([*word[:-1], word[-1] + "</w>"], merges)
+                path = own.walk("".join(word).encode())
+                assert [names[k] for k in path] == want
+                state = -1
+                for token in path:
+                    state = own.step(state, token)
+                    assert state == own.states[token]
+        for a, b in product(vocab, repeat=2):
+            if own.reached[vocab[a]] and own.reached[vocab[b]] and not a.endswith("</w>"):
+                spelled = [x for x in (a + b).replace("</w>", "")]
+                if b.endswith("</w>"):
+                    spelled[-1] += "</w>"
+                assert (own.step(own.states[vocab[a]], vocab[b]) >= 0) == (merged(spelled, merges) == [a, b])
+
+
 def components_by_brute_force(docs):
     import xxhash
 

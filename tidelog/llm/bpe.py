@@ -5,21 +5,28 @@ with one state that loops on every symbol.  Merge (a, b) -> c adds one gadget:
 the state that a leads to is copied without its b arc, a leads to the copy, and
 c leads from wherever a does to where b led.  After all merges the automaton
 accepts exactly the token sequences that greedy merging yields, one for each
-word.  Every token leads to a single state, so the copies of a state are told
-apart by the token that leads there and the merge that made them, and all that
-must be kept of a copy is the arc it lost.  An arc's presence is found by going
-back over the gadgets of the two tokens; what is found is kept in a transition
-table.
-
-A word is encoded by walking the automaton along the word's bytes, longest arc
-first, never visiting a position twice: one walk only reaches the end.  Decoding
-emits the labels of the arcs, joined as the tokenizer file's decoder says.
+word.  Where a token leads doesn't depend on where it starts, so the finished
+automaton is a state for each token and a table with a bit for each state and
+token: whether the arc is there.
+
+The gadget of (a, b) takes the arc b from the copies that are made of a's state
+later on, and takes with it the arcs of the tokens that begin with b by later
+merges.  With tokens numbered in preorder of their right parts (for states) and
+of their left parts (for arcs), later merges first, both are ranges of numbers:
+a gadget clears one rectangle of the table.  Numbers that no gadget tells apart
+share a row or a column.
+
+A word is encoded from left to right.  Every beginning of a word has one walk,
+so at each position one token ends that has an arc from where the walk of what
+is before it leads; it is looked up in the table, and nothing is taken back.
+Decoding emits the labels of the arcs, joined as the tokenizer file's decoder says.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +40,8 @@ from tidelog.llm.token_table import TokenTable
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Arcs kept in a process's transition table; it is emptied when full, which changes no result.
-ARCS_KEPT = 300_000
+#: Rows of the transition table that are made at once.
+ROWS_MADE = 1000
 
 #: Texts of these characters are normalised here; others by the tokenizer file's own normaliser.
 PLAIN = regex.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-₿]*")
@@ -57,38 +64,33 @@ def byte_letters() -> dict[str, int]:
 class Automaton:
     """The automaton of a merge list.
 
-    lost[a << 20 | b] is the merge whose gadget took the arc b from the state
-    that a leads to.  left, right and born say how a token came about; symbols
-    have born 0.  A token whose gadget found no path isn't reached.
+    states[token] is the state that a token leads to and columns[token] its
+    column; rows[state] are the bits of the lost arcs, eight columns a byte.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "</w>"):
         n = max(vocab.values()) + 1
         self.left, self.right, self.born, self.reached = [-1] * n, [-1] * n, [0] * n, [True] * n
-        self.lost: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
         self.suffix = suffix
         letters = byte_letters()
         #: Words are spelled in letters: a byte's letter is chr(byte), the last byte's chr(256 + byte).
-        self.trie: dict[str, int] = {}
+        self.tokens: dict[str, int] = {}
         for token, k in vocab.items():
             ends = token.endswith(suffix)
             raw = [letters[c] for c in (token.removesuffix(suffix) if ends else token)]
             if ends:
                 raw[-1] += 256
-            spelled = "".join(map(chr, raw))
-            self.trie[spelled] = k
-            for i in range(1, len(spelled)):
-                self.trie.setdefault(spelled[:i], -1)
-        #: The length of each token, and the longest shorter token that begins it.
-        self.size, self.shorter = [0] * n, [-1] * n
-        for spelled, k in self.trie.items():
-            if k >= 0:
-                self.size[k] = len(spelled)
-                self.shorter[k] = next((t for i in range(len(spelled) - 1, 0, -1) if (t := self.trie.get(spelled[:i], -1)) >= 0), -1)
+            self.tokens["".join(map(chr, raw))] = k
+        #: lost[a << 20 | b] is the merge whose gadget took the arc b from the state that a leads to.
+        self.lost: dict[int, int] = {}
         for when, (a, b) in enumerate(merges, 1):
             self._gadget(vocab[a], vocab[b], vocab[a + b], when)
-        self.arcs.clear()
+        self._finish()
+        self.tokens = {spelled: k for spelled, k in self.tokens.items() if self.reached[k]}
+        #: By last letter, the length of the longest token.
+        self.longest: dict[str, int] = {}
+        for spelled in self.tokens:
+            self.longest[spelled[-1]] = max(len(spelled), self.longest.get(spelled[-1], 0))
 
     def _gadget(self, a: int, b: int, c: int, when: int) -> None:
         self.left[c], self.right[c], self.born[c] = a, b, when
@@ -97,7 +99,7 @@ class Automaton:
             self.lost[a << 20 | b] = when
 
     def _arc(self, before: int, token: int) -> bool:
-        """Whether the state that `before` leads to has an arc for the token.
+        """Whether the state that `before` leads to has an arc for the token, while the automaton is made.
 
         A token led where its right part led before its merge, and had the arcs
         that its left part had just after.
@@ -115,58 +117,79 @@ class Automaton:
             else:
                 return True
 
-    def _keep(self, key: int) -> bool:
-        """Adds an arc's presence to the transition table; the key holds two tokens."""
-        if len(self.arcs) >= ARCS_KEPT:
-            self.arcs.clear()
-        found = self.arcs[key] = self._arc(key >> 20, key & 0xFFFFF)
-        return found
+    def _numbered(self, part: list[int]) -> tuple[list[list[int]], list[int], list[int]]:
+        """For each token the tokens made of it as that part, later merges first, and the range of numbers below it."""
+        made: list[list[int]] = [[] for _ in part]
+        for token in sorted(range(len(part)), key=lambda k: -self.born[k]):
+            if part[token] >= 0:
+                made[part[token]].append(token)
+        first, end, number = [0] * len(part), [0] * len(part), 0
+        stack = [(token, False) for token in range(len(part)) if part[token] < 0]
+        while stack:
+            token, done = stack.pop()
+            if done:
+                end[token] = number
+                continue
+            first[token], number = number, number + 1
+            stack.append((token, True))
+            stack.extend((t, False) for t in reversed(made[token]))
+        return made, first, end
+
+    def _finish(self) -> None:
+        """The table: a gadget clears the states of tokens that end in a, and the arcs of those that begin with b, where merged later."""
+        (of_a, row, row_end), (of_b, column, column_end) = self._numbered(self.right), self._numbered(self.left)
+        born = self.born
+        cleared = []
+        for pair, when in self.lost.items():
+            a, b = pair >> 20, pair & 0xFFFFF
+            # leftmost first: a token made of a by this very merge has it no more, one made of b still has
+            later_a = bisect_left(of_a[a], -when, key=lambda t: -born[t])
+            later_b = bisect_right(of_b[b], -when, key=lambda t: -born[t])
+            cleared.append((row[a], row_end[of_a[a][later_a - 1]] if later_a else row[a] + 1, column[b], column_end[of_b[b][later_b - 1]] if later_b else column[b] + 1))
+        cuts = np.array(cleared, np.int64).reshape(-1, 4)
+        row_cuts, column_cuts = (np.unique(np.append(cuts[:, k : k + 2], 0)) for k in (0, 2))
+        self.states = (np.searchsorted(row_cuts, row, "right") - 1).tolist()
+        self.columns = (np.searchsorted(column_cuts, column, "right") - 1).tolist()
+        ends = np.column_stack([np.searchsorted(row_cuts if k < 2 else column_cuts, cuts[:, k]) for k in range(4)])
+        self.rows: list[bytes] = []
+        for k in range(0, len(row_cuts), ROWS_MADE):  # bounds memory
+            part = np.zeros((min(ROWS_MADE, len(row_cuts) - k), len(column_cuts)), bool)
+            for r0, r1, c0, c1 in ends[(ends[:, 0] < k + ROWS_MADE) & (ends[:, 1] > k)].tolist():
+                part[max(r0 - k, 0) : r1 - k, c0:c1] = True
+            self.rows += [x.tobytes() for x in np.packbits(part, axis=1, bitorder="little")]
+
+    def step(self, state: int, token: int) -> int:
+        """The state that an arc leads to, or -1 without the arc; -1 as state is where walks begin."""
+        column = self.columns[token]
+        if not self.reached[token] or state >= 0 and self.rows[state][column >> 3] >> (column & 7) & 1:
+            return -1
+        return self.states[token]
 
     def walk(self, word: bytes) -> list[int]:
         """The tokens of a word: the arcs of the one walk that spells it."""
-        n, trie, size, shorter, arcs = len(word), self.trie, self.size, self.shorter, self.arcs
+        n, tokens, rows, states, columns, longest = len(word), self.tokens, self.rows, self.states, self.columns, self.longest
         spelled = word.decode("latin-1")
         spelled = spelled[:-1] + chr(256 + word[-1])
-        whole = trie.get(spelled, -1)
-        if whole >= 0 and self.reached[whole]:
+        whole = tokens.get(spelled)
+        if whole is not None:
             return [whole]
-        path: list[int] = []
-        dead: set[int] = set()
-        i, before, token = 0, -1, -2
-        while True:
-            if token == -2:  # a new position: the longest token there
-                token = -1
-                for j in range(i + 1, n + 1):
-                    k = trie.get(spelled[i:j])
-                    if k is None:
+        last = [-1] * (n + 1)  # of the walk to each position the last token
+        begin = [0] * (n + 1)  # and where that begins
+        for i in range(1, n + 1):
+            for j in range(max(0, i - longest[spelled[i - 1]]), i):
+                token = tokens.get(spelled[j:i])
+                if token is not None:
+                    column = columns[token]
+                    if not j or not rows[states[last[j]]][column >> 3] >> (column & 7) & 1:
+                        last[i], begin[i] = token, j
                         break
-                    if k >= 0:
-                        token = k
-            if token >= 0:
-                j = i + size[token]
-                if j not in dead:
-                    if before >= 0:
-                        key = before << 20 | token
-                        fits = arcs.get(key)
-                        if fits is None:
-                            fits = self._keep(key)
-                    else:
-                        fits = self.reached[token]
-                    if fits:
-                        path.append(token)
-                        if j == n:
-                            return path
-                        i, before, token = j, token, -2
-                        continue
-                token = shorter[token]
-            elif path:
-                dead.add(i)
-                token = path.pop()
-                i -= size[token]
-                before = path[-1] if path else -1
-                token = shorter[token]
             else:
                 raise ValueError(f"no walk spells {word!r}")
+        path, i = [], n
+        while i:
+            path.append(last[i])
+            i = begin[i]
+        return path[::-1]
 
 
 class Codec:
