@@ -212,3 +212,23 @@ def test_leaks_with_names_that_begin_sentences(spark):
         "sam has 6 pears and eve has 2 of them, who has more?",
     ]
     assert held(spark, asked, docs) == {(0, 0), (1, 1), (3, 2)}
+
+
+def test_leaks_of_rows_that_share_an_id(spark, tmp_path):
+    """Two variants under one doc_id, and two under a null one, are found like each alone; the SQL agrees."""
+    import duckdb
+
+    from tidelog.llm.oracle import ORACLE_SQL
+
+    ask = "A train leaves the green station at {} with {} people and meets old {} after {} km, then {} counts {} people again."
+    variant = lambda *v: ask.format(v[0], v[1], v[2], v[3], v[2], v[1])
+    rows = [(1, variant(11, 77, "Pedro", 60)), (1, variant(8, 31, "Anna", 14)), (None, variant(7, 12, "Ivan", 9)), (None, variant(5, 99, "Olga", 3)), (2, variant(4, 5, "Nina", 6)), (2, None), (3, "clean words")]
+    items = [(1, variant(9, 120, "Maria", 45)), (1, "Wholly different words about the slow growth of certain mosses under granite ledges."), (2, variant(9, 120, "Maria", 45))]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("copy", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").withColumn("asked", F.lit("clash")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter(tuple(r) for r in decontam.op8_templates(spark, str(tmp_path)).collect())
+    assert {(i, k) for i, k, *_ in got} == {(i, k) for i in (1, None, 2) for k in (1, 2)}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert Counter(con.sql(ORACLE_SQL["op8_templates"]).fetchall()) == got

@@ -87,12 +87,12 @@ def windows(words: str, size: int = WINDOW) -> Column:
 
 
 def with_windows(table: DataFrame, key: str, loose: bool = False) -> DataFrame:
-    """key, tokens, words (the template) and w (its windows) of table (key, text).
+    """key, copy (the text's hash: rows may share a key), tokens, words (the template) and w (its windows) of table (key, text).
 
     w is to be exploded with posexplode_outer: posexplode would have the planner
     put a filter on w below these columns, and so compute them for each window.
     """
-    tokens = table.select(key, tokens_of(text_of()).alias("tokens"))
+    tokens = table.select(key, F.xxhash64(text_of()).alias("copy"), tokens_of(text_of()).alias("tokens"))
     return tokens.withColumn("words", template(F.col("tokens"), loose)).withColumn("w", windows("words"))
 
 
@@ -137,32 +137,34 @@ def on_diagonal(item: Column, doc: Column, w: Column, wide: bool) -> Column:
 
 
 def met_by_template(docs: DataFrame, sought: DataFrame, loose: bool = False) -> DataFrame:
-    """doc_id, item_id, n_windows, diagonal, item, w and part, the document's tokens where the item's would be."""
-    every = with_windows(docs, "doc_id", loose).select("doc_id", "tokens", F.posexplode_outer("w").alias("doc_at", "window"))
+    """doc_id, copy, item_id, n_windows, diagonal, item, w and part, the document's tokens where the item's would be."""
+    every = with_windows(docs, "doc_id", loose).select("doc_id", "copy", "tokens", F.posexplode_outer("w").alias("doc_at", "window"))
     side = broadcast_if_small(sought, F.lit(60) + 2 * F.octet_length(F.array_join("item", "")) + 40 * F.size("item"))
     diagonal = F.col("doc_at") - F.col("item_at")
     part = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.get(F.col("tokens"), F.col("doc_at") - F.col("item_at") + j))
-    return every.join(side, "window").select("doc_id", "item_id", F.size(F.array_distinct("w")).alias("n_windows"), diagonal.alias("diagonal"), "item", "w", part.alias("part"))
+    return every.join(side, "window").select("doc_id", "copy", "item_id", F.size(F.array_distinct("w")).alias("n_windows"), diagonal.alias("diagonal"), "item", "w", part.alias("part"))
 
 
 def met_by_literals(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, n_windows, changed of items (item_id, tokens) by windows of literal tokens, shorter ones where the item is."""
-    own = stored(items.withColumn("words", literal(F.col("tokens"))).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW))), "literal-items")
+    """doc_id, copy, item_id, asked, matched, n_windows, changed of items (item_id, tokens) by windows of literal tokens, shorter ones where the item is."""
+    own = stored(items.withColumn("asked", F.xxhash64("tokens")).withColumn("words", literal(F.col("tokens"))).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW))), "literal-items")
     every = None
     for size in sorted(r["size"] for r in own.select("size").distinct().collect()):  # WINDOW values at most
-        sought = own.filter(F.col("size") == size).withColumn("w", F.array_distinct(windows("words", size))).select("item_id", F.size("w").alias("n_windows"), F.explode("w").alias("window"))
-        held = docs.select("doc_id", literal(tokens_of(text_of())).alias("words")).select("doc_id", F.explode_outer(F.array_distinct(windows("words", size))).alias("window"))
+        sought = own.filter(F.col("size") == size).withColumn("w", F.array_distinct(windows("words", size))).select("item_id", "asked", F.size("w").alias("n_windows"), F.explode("w").alias("window"))
+        held = docs.select("doc_id", F.xxhash64(text_of()).alias("copy"), literal(tokens_of(text_of())).alias("words")).select("doc_id", "copy", F.explode_outer(F.array_distinct(windows("words", size))).alias("window"))
         met = held.join(broadcast_if_small(stored(sought, "literal-windows"), F.lit(40)), "window").distinct()
         every = met if every is None else every.unionByName(met)
-    return every.groupBy("doc_id", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("matched")).withColumn("changed", F.lit(0))
+    return every.groupBy("doc_id", "copy", "item_id", "asked", "n_windows").agg(F.count(F.lit(1)).alias("matched")).withColumn("changed", F.lit(0))
 
 
 def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row (doc_id, item_id, matched_windows, item_windows, changed_slots) for each item that a document holds.
 
     docs has doc_id and text, items item_id and text; other columns aren't read.
-    Null and empty texts hold nothing.  Rows with one doc_id are one document;
-    a null doc_id is one, too.  Items with equal texts are all reported.  The
+    Null and empty texts hold nothing.  Each row is compared by itself, whatever
+    its doc_id; of rows that share one (a null one, too), and of items that share
+    an item_id, the pair with the greatest share is reported.  Items with equal
+    texts are all reported; an empty table gives no rows.  The
     items' windows are broadcast if their measured size allows it; beyond that
     the windows meet by a shuffle on their hash.  Items whose every sought window
     has a capitalised word are sought a second time with those as names.
@@ -178,25 +180,28 @@ def leaks(docs: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -
         loose = loose.join(first, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("item") == F.col("of_tokens"))).select("item_id", "item", F.col("first_w").alias("w"), "window", "item_at")
         met = met.unionByName(met_by_template(docs, stored(loose.distinct(), "capital-windows"), True))
     # an item has boundedly many windows and slots, so these sets are bounded
-    parts = met.groupBy("doc_id", "item_id", "n_windows", "diagonal", "item", "w").agg(F.collect_set(F.struct("part")).alias("parts"))
+    pair = ("doc_id", "copy", "item_id", "asked", "n_windows")
+    parts = met.withColumn("asked", F.xxhash64("item")).groupBy(*pair, "diagonal", "item", "w").agg(F.collect_set(F.struct("part")).alias("parts"))
     both = F.array(*[F.flatten(F.transform("parts", lambda p: on_diagonal(F.col("item"), p["part"], F.col("w"), wide))) for wide in (False, True)])  # noqa: B023
-    seen = parts.select("doc_id", "item_id", "n_windows", F.posexplode(both).alias("rank", "seen"))
-    one = seen.select("doc_id", "item_id", "n_windows", "rank", F.flatten("seen.found").alias("found"), F.array_distinct(F.flatten("seen.slots")).alias("slots"))
+    seen = parts.select(*pair, F.posexplode(both).alias("rank", "seen"))
+    one = seen.select(*pair, "rank", F.flatten("seen.found").alias("found"), F.array_distinct(F.flatten("seen.slots")).alias("slots"))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     consistent = one.filter(F.size("slots") == values)
     changed = F.size(F.filter("slots", lambda s: s["i"] != s["d"]))
-    whole = consistent.withColumn("changed", changed).groupBy("doc_id", "item_id", "n_windows", "rank")
+    whole = consistent.withColumn("changed", changed).groupBy(*pair, "rank")
     total = whole.agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).alias("matched"), F.max("changed").alias("changed"))
     # a pair that holds by the sought windows alone is reported with these
     enough = total.filter(F.col("matched") >= least_share * F.col("n_windows"))
-    total = enough.groupBy("doc_id", "item_id", "n_windows").agg(F.min_by(F.struct("matched", "changed"), "rank").alias("t")).select("doc_id", "item_id", "n_windows", "t.matched", "t.changed")
+    total = enough.groupBy(*pair).agg(F.min_by(F.struct("matched", "changed"), "rank").alias("t")).select(*pair, "t.matched", "t.changed")
     template_items = stored(sought.select("item_id").unionByName(loose.select("item_id")).distinct(), "template-items")
     rest = items.join(template_items.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of")), "left_anti").select("item_id", tokens_of(text_of()).alias("tokens"))
     rest = stored(rest.filter((F.size("tokens") >= LITERAL_TOKENS) | (F.octet_length(F.array_join("tokens", "")) >= LITERAL_BYTES)), "literal-items")
     if rest.take(1):
         total = total.unionByName(met_by_literals(docs, rest))
     held = total.filter(F.col("matched") >= least_share * F.col("n_windows"))
-    return held.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched_windows"), F.col("n_windows").cast("long").alias("item_windows"), F.col("changed").cast("long").alias("changed_slots"))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("matched") / F.col("n_windows")).alias("share"), number("matched"), number("n_windows"), number("changed"))).alias("t"))
+    return best.select("doc_id", "item_id", F.col("t.matched").alias("matched_windows"), F.col("t.n_windows").alias("item_windows"), F.col("t.changed").alias("changed_slots"))
 
 
 def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

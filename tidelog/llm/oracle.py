@@ -98,20 +98,21 @@ def templates() -> str:
     token = decontam.TOKEN
     units = ", ".join(f"'{u}'" for u in decontam.UNITS)
     kind = f"CASE WHEN {{0}} >= '0' AND {{0}} <= ':' THEN '#number' WHEN starts_with({{0}}, {mark}) THEN '#name' WHEN {{0}} IN ({units}) THEN '#unit' END"
-    side = lambda t, key: f"""{t}_t AS (SELECT {key}, regexp_extract_all(lower({marked}), '{token}') AS tokens FROM {t}),
-{t}_w AS (SELECT {key}, tokens, list_transform(tokens, lambda t: coalesce({kind.format('t')}, t)) AS words FROM {t}_t),
-{t}_i AS (SELECT {key}, tokens, words, unnest(range(1, len(words) - {n - 2})) AS i FROM {t}_w WHERE len(words) >= {n}),
-{t}_x AS (SELECT {key}, i, tokens[i:i + {n - 1}] AS part, words[i:i + {n - 1}] AS w, array_to_string(words[i:i + {n - 1}], ' ') AS x FROM {t}_i)"""
+    side = lambda t, key: f"""{t}_t AS (SELECT row_number() OVER () AS {t}_row, {key}, regexp_extract_all(lower({marked}), '{token}') AS tokens FROM {t}),
+{t}_w AS (SELECT *, list_transform(tokens, lambda t: coalesce({kind.format('t')}, t)) AS words FROM {t}_t),
+{t}_i AS (SELECT *, unnest(range(1, len(words) - {n - 2})) AS i FROM {t}_w WHERE len(words) >= {n}),
+{t}_x AS (SELECT {t}_row, {key}, i, tokens[i:i + {n - 1}] AS part, words[i:i + {n - 1}] AS w, array_to_string(words[i:i + {n - 1}], ' ') AS x FROM {t}_i)"""
     return f"""WITH {side('documents', 'doc_id')}, {side('benchmark', 'item_id')},
-sizes AS (SELECT item_id, count(DISTINCT x) AS item_windows FROM benchmark_x GROUP BY item_id),
-sought AS (SELECT * FROM benchmark_x JOIN sizes USING (item_id) WHERE len(list_filter(w, lambda t: NOT starts_with(t, '#'))) >= {decontam.LEAST_FIXED}),
-met AS (SELECT doc_id, item_id, item_windows, d.i - b.i AS diagonal, d.x, d.part AS doc_part, b.part AS item_part FROM documents_x d JOIN sought b ON d.x = b.x),
-slots AS (SELECT DISTINCT doc_id, item_id, diagonal, item_part[k] AS a, doc_part[k] AS b FROM met, range(1, {n + 1}) t(k) WHERE {kind.format('item_part[k]')} IS NOT NULL),
-checked AS (SELECT doc_id, item_id, diagonal, count(*) FILTER (a <> b) AS changed, count(*) = count(DISTINCT a) AS consistent FROM slots GROUP BY ALL),
-good AS (SELECT m.*, coalesce(changed, 0) AS changed FROM met m LEFT JOIN checked c
-  ON m.doc_id IS NOT DISTINCT FROM c.doc_id AND m.item_id IS NOT DISTINCT FROM c.item_id AND m.diagonal = c.diagonal WHERE coalesce(consistent, true))
-SELECT doc_id, item_id, count(DISTINCT x) AS matched_windows, any_value(item_windows) AS item_windows, max(changed) AS changed_slots
-FROM good GROUP BY doc_id, item_id HAVING count(DISTINCT x) >= {decontam.LEAST_SHARE} * any_value(item_windows)"""
+sizes AS (SELECT benchmark_row, count(DISTINCT x) AS item_windows FROM benchmark_x GROUP BY benchmark_row),
+sought AS (SELECT * FROM benchmark_x JOIN sizes USING (benchmark_row) WHERE len(list_filter(w, lambda t: NOT starts_with(t, '#'))) >= {decontam.LEAST_FIXED}),
+met AS (SELECT documents_row, benchmark_row, doc_id, item_id, item_windows, d.i - b.i AS diagonal, d.x, d.part AS doc_part, b.part AS item_part FROM documents_x d JOIN sought b ON d.x = b.x),
+slots AS (SELECT DISTINCT documents_row, benchmark_row, diagonal, item_part[k] AS a, doc_part[k] AS b FROM met, range(1, {n + 1}) t(k) WHERE {kind.format('item_part[k]')} IS NOT NULL),
+checked AS (SELECT documents_row, benchmark_row, diagonal, count(*) FILTER (a <> b) AS changed, count(*) = count(DISTINCT a) AS consistent FROM slots GROUP BY ALL),
+good AS (SELECT m.*, coalesce(changed, 0) AS changed FROM met m LEFT JOIN checked c USING (documents_row, benchmark_row, diagonal) WHERE coalesce(consistent, true)),
+held AS (SELECT doc_id, item_id, count(DISTINCT x) AS matched_windows, any_value(item_windows) AS item_windows, max(changed) AS changed_slots
+FROM good GROUP BY documents_row, benchmark_row, doc_id, item_id HAVING count(DISTINCT x) >= {decontam.LEAST_SHARE} * any_value(item_windows))
+SELECT doc_id, item_id, t.matched_windows, t.item_windows, t.changed_slots FROM (
+  SELECT doc_id, item_id, max({{'share': matched_windows / item_windows, 'matched_windows': matched_windows, 'item_windows': item_windows, 'changed_slots': changed_slots}}) AS t FROM held GROUP BY doc_id, item_id)"""
 
 
 ORACLE_SQL = {"op8_templates": templates(), "op1_link_graph": link_graph(), "op7_blob_ledger": secret_scan(), "op10_line_frequency": line_frequency()}
