@@ -172,12 +172,140 @@ def tree_match(a, b):
     return m[-1][-1] + 1
 
 
-def test_tree_matching_equals_brute_force():
+def number(shapes, tree):
+    return shapes.number(tree[0], tuple(number(shapes, c) for c in tree[1]))
+
+
+def listed(tree, depth=0):
+    """labels, depths and hashes of a tree in preorder; leaves are texts."""
+    rows = [("#" if not tree[1] else tree[0], depth, len(tree[0]))]
+    for c in tree[1]:
+        rows += listed(c, depth + 1)
+    return rows
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_tree_matching_equals_brute_force(monkeypatch, cells):
+    """Sizes and alignments, by whole tables and by halved ones."""
+    monkeypatch.setattr(dom, "MOST_CELLS", cells)
     rnd = random.Random(1)
 
     def tree(depth):
-        return (rnd.choice("ab"), tuple(tree(depth - 1) for _ in range(rnd.randrange(4) if depth else 0)))
+        return (rnd.choice("ab"), tuple(tree(depth - 1) for _ in range(rnd.randrange(5) if depth else 0)))
+
+    def leaves_as_texts(t):
+        return (t[0], tuple(map(leaves_as_texts, t[1]))) if t[1] else ("#", ())
 
     for _ in range(300):
-        a, b = ("r", tree(3)[1]), ("r", tree(3)[1])
-        assert dom.match_size(a, b) == tree_match(a, b)
+        a, b = (leaves_as_texts(("r", (*tree(3)[1], ("a", ())))) for _ in range(2))
+        shapes = dom.Shapes()
+        assert shapes.match_size(number(shapes, a), number(shapes, b)) == tree_match(a, b)
+        (labels, depths, hashes), other = zip(*listed(a)), list(zip(*listed(b)))
+        met = dom.Matcher(labels, depths, hashes).align(*other)
+        assert all(labels[x] == "#" == other[0][y] for x, y in met.items())
+        places = sorted(met.items())
+        assert [y for _, y in places] == sorted({y for _, y in places})  # keeps order, one to one
+        parents = lambda ds: [max((j for j in range(i) if ds[j] == d - 1), default=None) for i, d in enumerate(ds)]
+        up, down = parents(depths), parents(other[1])
+        inner: dict = {}
+        for x, y in met.items():  # top-down: ancestors are matched with ancestors
+            while x is not None:
+                assert inner.setdefault(x, y) == y and labels[x] == other[0][y]
+                x, y = up[x], down[y]
+            assert y is None
+
+
+def test_wide_lists_are_aligned_best():
+    """1,100 by 1,100 children, and no fewer pairs than the table gives."""
+    rnd = random.Random(4)
+    xs, ys = ([(rnd.choice("abc"), ()) for _ in range(1100)] for _ in range(2))
+    row = [0] * 1101
+    for x in xs:
+        last, row = row, [0]
+        for j, y in enumerate(ys):
+            row.append(max(row[j], last[j + 1], last[j] + (x == y)))
+    shapes = dom.Shapes()
+    assert len(xs) * len(ys) > dom.MOST_CELLS
+    assert shapes.match_size(number(shapes, ("r", tuple(xs))), number(shapes, ("r", tuple(ys)))) == row[-1] + 1
+
+
+def text_of(source):
+    return " ".join(x.words for x in dom.main_texts(dom.parse(source)))
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<!DOCTYPE html", ""),
+        ("<?xml", ""),
+        ("<!x", ""),
+        ("</ x", ""),
+        ("<!-- never closed", ""),
+        ("a<!-- never closed", "a"),
+        ("a<!x", "a"),
+        ("a<!-->b<!--->c", "abc"),
+        ("<", "<"),
+        ("a < b", "a < b"),
+        ("<!doctype html><p>x</p></ y>z", "x z"),
+        ("<script>never closed", ""),
+        ("<p>a<table><tr><td><p>b</table>c", "a b c"),
+        ("<main><h1>Title</h1><p>Intro</p><article>teaser</article><p>The long body</p></main>", "Title Intro teaser The long body"),
+        ("<div>" * 300 + "<nav>menu</nav><article>kept<nav>gone</nav></article>" + "</div>" * 300, "kept"),
+        ("<div>" * 300 + "<nav>menu</nav><p>kept", "kept"),
+    ],
+)
+def test_odd_markup(source, text):
+    assert text_of(source) == text
+
+
+def test_deep_and_long_markup_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for unit, end in (("<div>", "x"), ("<div><p>", "x"), ("<li><div>", "x"), ("</foo>", "x"), ("<foo>", "</bar>" * 50_000 + "x"), ("<td><p>", "x"), ("<dl><dt>", "x")):
+        root = dom.parse(unit * 50_000 + end)
+        assert text_of(unit * 50_000 + end) == "x"
+        labels, depths, hashes, _ = dom.flat(root)
+        own = dom.Matcher(labels, depths, hashes)
+        assert len(own.align(labels, depths, hashes)) == 1
+    assert time.perf_counter() - began < 60
+
+
+def pages_frame(spark, rows):
+    return spark.createDataFrame([(k, u, h, "clash", "clash") for k, u, h in rows], PAGES + ", host string, words string")
+
+
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in wrapper.extract(pages_frame(spark, rows)).collect()}
+
+
+BARE = "<div><div>Home of everything</div><p>Our motto stays</p></div><div><h1>Story {k}</h1><p>Words of story {k}</p></div><div><p>All rights with us</p></div>"
+
+
+def test_wrapper_decides(spark):
+    """A host without article elements: without the wrapper most of its pages come out otherwise."""
+    rows = [(k, "http://a.example/", BARE.replace("{k}", str(k * k))) for k in range(12)]
+    got = extracted(spark, rows)
+    assert got == {k: f"Story {k * k} Words of story {k * k}" for k in range(12)}
+    assert all(text_of(h) != got[k] for k, _, h in rows)
+
+
+def test_wrapper_of_several_layouts(spark):
+    """The page of the smallest id is empty, the next has another layout, and a notice is on some pages only."""
+    notice = "<section><p>We are hiring</p></section>"
+    rows = [(0, "http://a.example/", None), (1, "http://a.example/", "<table><tr><td>lone {k}</table>")]
+    rows += [(k, "http://a.example/", (notice if k % 3 else "") + BARE.replace("{k}", str(k * k))) for k in range(2, 20)]
+    rows += [(30, "http://b.example/", "<p>One page of its own</p>"), (30, "http://b.example/", "<p>One page of its own</p>")]
+    got = extracted(spark, rows)
+    assert got[0] == "" and got[1] == "lone {k}" and got[30] == "One page of its own"
+    assert {k: got[k] for k in range(2, 20)} == {k: f"Story {k * k} Words of story {k * k}" for k in range(2, 20)}
+
+
+def test_wrapper_beyond_the_broadcast_limit(spark, monkeypatch):
+    from tidelog.llm import common
+
+    rows = [(k, f"http://{'ab'[k % 2]}.example/", BARE.replace("{k}", str(k * k))) for k in range(24)] + [(None, None, "<p>x</p>")]
+    whole = extracted(spark, rows)
+    real = common.sized
+    monkeypatch.setattr(common, "sized", lambda df, row_bytes, limit=0: (df, False) if real(df, row_bytes, limit) else None)
+    assert extracted(spark, rows) == whole

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,19 @@ LOCAL_FOLDER = "file:///tmp/checkpoints/tidelog"
 BROADCAST_BYTES = 48 << 20
 
 #: Rows and bytes of an Arrow batch: long texts must not add up to more than a worker can hold.
-ARROW_ROWS = 500
+ARROW_ROWS = 2000
 ARROW_BYTES = 16 << 20
 
+#: Copies of a side that is too large to broadcast; the rows of a hot key are dealt over as many tasks.
+SALTS = 16
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = LOCAL_FOLDER
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
@@ -74,20 +80,44 @@ def ship(spark: SparkSession) -> None:
     context._tidelog_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Before Python works on texts: ship the package, and bound an Arrow batch."""
+def small_batches(spark: SparkSession) -> None:
+    """Before Python works on texts: ship the package, and bound an Arrow batch, for every operator alike."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def join_side(rows: DataFrame, side: DataFrame, on: list[str], row_bytes, how: str = "inner") -> DataFrame:
+    """rows joined with a written table that has a row for each key at most, whatever part of rows a key has.
+
+    The side is broadcast if its measured size allows it; else it is copied
+    SALTS times, so that the rows of one key are dealt over as many tasks.  Nulls
+    in keys equal nulls.  The key columns of rows stay.
+    """
+    small = sized(side, row_bytes)[1]
+    named = [f"side_{k}_" for k in on]
+    for k, n in zip(on, named):
+        side = side.withColumnRenamed(k, n)
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(on, named)])
+    if small:
+        return rows.join(F.broadcast(side), met, how).drop(*named)
+    copies = side.withColumn("side_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt_", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, met & (F.col("salt_") == F.col("side_salt_")), how).drop(*named, "salt_", "side_salt_")
+
+
+def sized(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if its measured size is within the limit, and whether it is."""
+    size = df.agg(F.sum(row_bytes + F.lit(16)).alias("n")).first()["n"] or 0
+    return (F.broadcast(df), True) if size <= limit else (df, False)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its measured size is within the limit, else df as it is.
 
     row_bytes: a Column, the bytes of a row.  df should be a written table, as it is read for this.
     """
-    size = df.agg(F.sum(row_bytes + F.lit(16)).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if size <= limit else df
+    return sized(df, row_bytes, limit)[0]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

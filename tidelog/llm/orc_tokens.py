@@ -34,8 +34,8 @@ OPTIONS = {
     "compression": "zstd",
 }
 
-#: Chunks that the library gets as one text, chunks kept in a process, and rows of a batch.
-JOINED, CHUNKS_KEPT, ROWS = 2000, 600_000, 2000
+#: Chunks that the library gets as one text, and chunks kept in a process.
+JOINED, CHUNKS_KEPT = 2000, 600_000
 
 _TABLES: dict[str, TokenTable] = {}
 
@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.int64()), pa.array(np.diff(ends), pa.int32()), lists], ["doc_id", "before", "n_tokens", "ids"])
 
-    small_batches(docs.sparkSession, ROWS)
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", text_of().alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = own.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return ordered.mapInArrow(run, SCHEMA)
