@@ -309,10 +309,58 @@ def test_shard_bytes_near_equal(spark, medium):
     assert max(total.values()) - min(total.values()) <= max(r["size"] for r in got)
 
 
-def test_growth_moves_into_the_new_shard_only():
-    old = slots.even_map(512, 7)
-    new = slots.grown(old, 7)
-    assert all(a == b or b == 7 for a, b in zip(old, new)) and 60 <= new.count(7) <= 64
+def test_map_is_edited(spark, medium, tmp_path):
+    """A second call on a stored map moves nothing and gives the same rows; more rows and another shard move few slots."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text")
+    path, n = f"file://{tmp_path}/map", 2048
+    first = rows(slots.shard(docs, 8, n, path))
+    assert slots.versions(spark, path) == [0, 1]
+    assert rows(slots.shard(docs, 8, n, path)) == first and len(slots.versions(spark, path)) == 2
+    even, old = slots.load_map(spark, path, 0), slots.load_map(spark, path)
+    assert even == [k % 8 for k in range(n)]
+    assert 0 < sum(a != b for a, b in zip(even, old)) < n / 20
+
+    def shares(got):
+        total = Counter()
+        for r in got.collect():
+            total[r["shard"]] += r["size"]
+        return total
+
+    from pyspark.sql import functions as F
+
+    more = docs.unionByName(docs.limit(50).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+    total = shares(slots.shard(more, 8, n, path))
+    assert max(total.values()) - min(total.values()) <= 0.002 * sum(total.values()) / 8
+    newer = slots.load_map(spark, path)
+    assert slots.versions(spark, path) == [0, 1, 2] and sum(a != b for a, b in zip(old, newer)) < n / 20
+    total = shares(slots.shard(more, 9, n, path))
+    assert len(total) == 9 and max(total.values()) - min(total.values()) <= 0.002 * sum(total.values()) / 9
+    grown = slots.load_map(spark, path)
+    assert sum(a != b for a, b in zip(newer, grown)) < n / 5
+    total = shares(slots.shard(more, 4, n, path))
+    assert set(total) == set(range(4)) and len(slots.versions(spark, path)) == 5
+    with pytest.raises(ValueError):
+        slots.shard(docs, 8, 100, path)
+
+
+def test_edits_equal_brute_force():
+    """Small maps: as near as any placing, or no single move or trade between the extremes helps."""
+    import random
+
+    rnd = random.Random(12)
+    for _ in range(200):
+        n, shards = rnd.randrange(1, 12), rnd.randrange(1, 5)
+        sizes = [rnd.choice([0, 1, 5, 9, 40, rnd.randrange(100)]) for _ in range(n)]
+        new = slots.edited([k % shards for k in range(n)], sizes, shards)
+        filled = [sum(s for s, x in zip(sizes, new) if x == k) for k in range(shards)]
+        gap, full, least = max(filled) - min(filled), filled.index(max(filled)), filled.index(min(filled))
+        out = [s for s, x in zip(sizes, new) if x == full]
+        back = [0, *(s for s, x in zip(sizes, new) if x == least)]
+        near = max(1.0, slots.SPREAD * sum(sizes) / shards)
+        if gap > near and filled.count(max(filled)) == filled.count(min(filled)) == 1:
+            assert not [1 for a in out for b in back if near / 4 <= a - b <= gap - near / 4]
+        assert slots.edited(new, sizes, shards) == new
+        assert all(a == b for a, b, s in zip([k % shards for k in range(n)], new, sizes) if not s)
 
 
 def test_count_filter_rejects_pairs():

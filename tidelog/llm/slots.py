@@ -2,14 +2,15 @@
 
 Records hash into a fixed number of slots.  Rows and bytes are aggregated per
 slot, and a versioned slot-to-shard map says where each slot lives.  Version 0
-deals the slots out evenly; later versions are edits that move whole slots, so
-a rebalancing never rehashes a record.  The map has N_SLOTS rows at any size of
-the input; it is the only thing the driver sees.
+deals the slots out evenly; a rebalancing edits the newest version by moving
+few whole slots and stores the result under the next number, so it never
+rehashes a record.  The map has N_SLOTS rows at any size of the input; it and
+the slots' totals are the only things the driver sees.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +22,21 @@ N_SLOTS = 16384
 N_SHARDS = 40
 RECORD_OVERHEAD = 16
 
+#: A map is edited until no shard is further from another than this share of the mean, or no slot's move helps.
+SPREAD = 0.001
+
+MAP = "virtual_slot int, shard int"
+
 
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """docs with size, text_crc32 and virtual_slot.
 
-    The slot is decided by doc_id, or by the text where doc_id is null, so that
-    many rows without an id don't share one slot.  A null text has size 16 and
-    the crc of no bytes.
+    The slot is decided by doc_id and text, so that neither rows without an id
+    nor those that repeat one share a slot, unless they are equal.  A null text
+    has size 16 and the crc of no bytes.
     """
     text = text_of()
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
+    key = F.xxhash64("doc_id", text)
     return docs.withColumns(
         {
             "size": (F.octet_length(text) + RECORD_OVERHEAD).cast("long"),
@@ -50,98 +56,145 @@ def even_map(n_slots: int, n_shards: int) -> list[int]:
     return [slot % n_shards for slot in range(n_slots)]
 
 
-def rebalanced(shard_of: list[int], slot_bytes: list[int], n_shards: int) -> list[int]:
-    """An edit of the map that makes the shards' bytes near equal.
+def best_transfer(full: list[tuple[int, int]], least: list[tuple[int, int]], gap: int, gain: float) -> tuple[tuple[int, int], tuple[int, int] | None] | None:
+    """The slot to move from full to least (both sorted by bytes), with one to move back or none, that halves the gap best.
 
-    Slots are placed largest first on the least filled shard; a slot stays
-    where it is if its shard is as empty as any.  Empty slots don't move.
+    What moves in all must be at least `gain` away from 0 and from the gap, so
+    that each transfer brings the two nearer to each other by as much.
+    """
+    best, score = None, None
+    for back in [None, *least]:
+        want = gap / 2 + (back[0] if back else 0)
+        k = bisect_left(full, (want, -1))
+        for out in full[max(k - 1, 0) : k + 1]:
+            moved = out[0] - (back[0] if back else 0)
+            if gain <= moved <= gap - gain and (score is None or abs(moved - gap / 2) < score):
+                best, score = (out, back), abs(moved - gap / 2)
+        if score is not None and score <= gap / 8:
+            break
+    return best
+
+
+def edited(shard_of: list[int], slot_bytes: list[int], n_shards: int, spread: float = SPREAD) -> list[int]:
+    """An edit of a map that makes the shards' bytes near equal by moving few slots.
+
+    Time and again the fullest shard gives a slot to the emptiest, or trades
+    one, until they are within the spread of the mean; a shard that can't give
+    any is left out.  Slots of shards that are no more go to the emptiest.
+    Empty slots don't move otherwise.
     """
     out = list(shard_of)
-    load = [(0, shard) for shard in range(n_shards)]
-    heapq.heapify(load)
+    near = max(1.0, spread * sum(slot_bytes) / n_shards)
+    own: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
     filled = [0] * n_shards
-    for slot in sorted((s for s, b in enumerate(slot_bytes) if b), key=lambda s: (-slot_bytes[s], s)):
-        while load[0][0] != filled[load[0][1]]:
-            heapq.heapreplace(load, (filled[load[0][1]], load[0][1]))
-        least, shard = load[0]
-        if out[slot] < n_shards and filled[out[slot]] == least:
-            shard = out[slot]
+    for slot, shard in enumerate(out):
+        if shard < n_shards and slot_bytes[slot]:
+            own[shard].append((slot_bytes[slot], slot))
+            filled[shard] += slot_bytes[slot]
+    for slots in own:
+        slots.sort()
+
+    def give(source: int, target: int, x: tuple[int, int]) -> None:
+        del own[source][bisect_left(own[source], x)]
+        insort(own[target], x)
+        out[x[1]] = target
+        filled[source] -= x[0]
+        filled[target] += x[0]
+
+    for slot in sorted((s for s, shard in enumerate(out) if shard >= n_shards), key=lambda s: (-slot_bytes[s], s)):
+        shard = min(range(n_shards), key=filled.__getitem__)
         out[slot] = shard
-        filled[shard] += slot_bytes[slot]
+        if slot_bytes[slot]:
+            insort(own[shard], (slot_bytes[slot], slot))
+            filled[shard] += slot_bytes[slot]
+    moved = True
+    while moved:
+        moved, able = False, list(range(n_shards))
+        while len(able) > 1:
+            full, least = max(able, key=filled.__getitem__), min(able, key=filled.__getitem__)
+            gap = filled[full] - filled[least]
+            if gap <= near:
+                break
+            transfer = best_transfer(own[full], own[least], gap, near / 4)
+            if transfer is None:
+                able.remove(full)
+                continue
+            give(full, least, transfer[0])
+            if transfer[1]:
+                give(least, full, transfer[1])
+            moved = True
     return out
 
 
-def grown(shard_of: list[int], n_shards: int, slot_bytes: list[int] | None = None) -> list[int]:
-    """An edit for one more shard: slots move into the new shard only, from the fullest ones."""
-    sizes = slot_bytes or [1] * len(shard_of)
-    out, filled = list(shard_of), [0] * (n_shards + 1)
-    own: dict[int, list[int]] = {}
-    for slot in sorted(range(len(out)), key=lambda s: (sizes[s], s)):
-        filled[out[slot]] += sizes[slot]
-        own.setdefault(out[slot], []).append(slot)
-    goal = sum(sizes) // (n_shards + 1)
-    heap = [(-filled[s], s) for s in range(n_shards)]
-    heapq.heapify(heap)
-    while filled[n_shards] < goal and heap:
-        _, shard = heapq.heappop(heap)
-        slots = own.get(shard, [])
-        while slots and (sizes[slots[-1]] == 0 or sizes[slots[-1]] > goal - filled[n_shards]):
-            slots.pop()
-        if not slots:
-            continue
-        slot = slots.pop()
-        out[slot] = n_shards
-        filled[n_shards] += sizes[slot]
-        filled[shard] -= sizes[slot]
-        heapq.heappush(heap, (-filled[shard], shard))
-    return out
+def literal_frame(spark: SparkSession, schema: str, *columns: list[int]) -> DataFrame:
+    """Columns of integers, a row for each virtual slot, as a table without files; schema names the slot and the columns."""
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")))
+    literal = lambda xs, kind: F.from_json(F.lit(str(list(xs))), f"array<{kind}>")
+    zipped = F.arrays_zip(*[literal(xs, kind).alias(name) for xs, name, kind in zip(columns, names[1:], kinds[1:])])
+    return spark.range(1).select(F.posexplode(zipped).alias(names[0], "x")).select(names[0], *[F.col(f"x.{n}").alias(n) for n in names[1:]])
 
 
-def map_frame(spark: SparkSession, version: int, shard_of: list[int], rows: list[int]) -> DataFrame:
-    """A version of the map: version, virtual_slot, shard, base (rows of the shard's earlier slots)."""
-    ahead: dict[int, int] = {}
-    base = []
-    for slot, shard in enumerate(shard_of):
-        base.append(ahead.get(shard, 0))
-        ahead[shard] = base[-1] + rows[slot]
-    literal = lambda xs, kind: F.from_json(F.lit(str(list(xs))), f"array<{kind}>")
-    return (
-        spark.range(1)
-        .select(F.posexplode(F.arrays_zip(literal(shard_of, "int").alias("shard"), literal(base, "bigint").alias("base"))).alias("virtual_slot", "x"))
-        .select(F.lit(version).alias("version"), "virtual_slot", F.col("x.shard").alias("shard"), F.col("x.base").alias("base"))
-    )
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the stored versions of a map."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    whole = (s.getPath() for s in store.listStatus(place) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    return sorted(int(p.getName().removeprefix("version=")) for p in whole if p.getName().startswith("version="))
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A stored version of the map; the newest unless one is named."""
-    versions = spark.read.parquet(path)
-    if version is None:
-        version = versions.agg(F.max("version").alias("v")).first()["v"]
-    return versions.filter(F.col("version") == version)
+def store_map(spark: SparkSession, path: str, version: int, shard_of: list[int]) -> None:
+    """Write a version; an error if there is one of that number, as of another edit at the same time."""
+    literal_frame(spark, MAP, shard_of).coalesce(1).write.parquet(f"{path}/version={version}")
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """docs with size, text_crc32, virtual_slot, shard and slot.
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
+    """The shard of each virtual slot by a stored version, the newest unless one is named."""
+    version = max(versions(spark, path)) if version is None else version
+    return [r["shard"] for r in spark.read.schema(MAP).parquet(f"{path}/version={version}").orderBy("virtual_slot").collect()]
+
 
-    The law is ``bytes``: after the rebalancing edit the shards' sizes are near
-    equal.  slot numbers a shard's rows from 0 without gaps: rows of its earlier
-    virtual slots, then the order of doc_id, crc and size within the virtual
-    slot, so the numbering takes one sort per virtual slot and none per shard.
-    Repeated rows each get a number of their own; an empty table gives no rows.
+def rebalance(spark: SparkSession, path: str, slot_bytes: list[int], n_shards: int) -> list[int]:
+    """Edit the newest map below path (version 0 is made if there is none); an edit that moves slots becomes the next version."""
+    known = versions(spark, path)
+    if not known:
+        store_map(spark, path, 0, even_map(len(slot_bytes), n_shards))
+        known = [0]
+    old = load_map(spark, path, known[-1])
+    if len(old) != len(slot_bytes):
+        raise ValueError(f"the map has {len(old)} slots, not {len(slot_bytes)}")
+    new = edited(old, slot_bytes, n_shards)
+    if new != old:
+        store_map(spark, path, known[-1] + 1, new)
+    return new
+
+
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """docs (doc_id, text) with size, text_crc32, virtual_slot, shard and slot.
+
+    map_path: where the map is kept; its newest version is edited.  A new map
+    is made if it is None.  The law is ``bytes``: after the edit the shards'
+    sizes are near equal, as far as whole slots allow.  slot numbers a shard's
+    rows from 0 without gaps: rows of its earlier virtual slots, then the order
+    of doc_id, crc and size within the virtual slot, so the numbering takes one
+    sort per virtual slot and none per shard.  Repeated rows each get a number
+    of their own; a null text is an empty one; an empty table gives no rows.
     Extra columns of docs stay, but for those with the names added here, which
     are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("size", "text_crc32", "virtual_slot", "shard", "slot", "version", "base")
+    docs = docs.drop("size", "text_crc32", "virtual_slot", "shard", "slot", "base")
     slotted = with_slots(docs, n_slots)
     rows, size = [0] * n_slots, [0] * n_slots
     for r in slot_totals(slotted.select("size", "virtual_slot")).collect():  # n_slots rows at most, at any size
         rows[r["virtual_slot"]], size[r["virtual_slot"]] = r["rows"], r["bytes"]
-    first = even_map(n_slots, n_shards)
-    path = map_path or scratch_path(spark, "slot-map")
-    for version, shard_of in enumerate((first, rebalanced(first, size, n_shards))):
-        map_frame(spark, version, shard_of, rows).coalesce(1).write.mode("append").parquet(path)
-    where = load_map(spark, path, 1).select("virtual_slot", F.col("shard"), "base")
+    shard_of = rebalance(spark, map_path or scratch_path(spark, "slot-map"), size, n_shards)
+    ahead, base = [0] * n_shards, []
+    for slot, own in enumerate(shard_of):
+        base.append(ahead[own])
+        ahead[own] += rows[slot]
+    where = literal_frame(spark, f"{MAP}, base bigint", shard_of, base)
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return (
         slotted.withColumn("at", F.row_number().over(order) - 1)
