@@ -115,7 +115,7 @@ def test_verdicts_equal_brute_force(spark):
     links["c0.net", "bad0.com"] += 1
     for k in range(4):
         links[f"good{k}.org", rnd.choice(hosts)] += 2
-        links[rnd.choice(hosts), f"bad{k}.com"] += 3
+        links[rnd.choice(hosts), f"bad{max(k, 1)}.com"] += 3
     links["hub.net", "bad1.com"] += 1
     links = Counter({(a, b): n for (a, b), n in links.items() if a != b})
     seeds = {"trust": {f"good{k}.org": 1.0 for k in range(4)}, "distrust": {f"bad{k}.com": 1.0 for k in range(4)}}
@@ -135,7 +135,7 @@ def test_verdicts_equal_brute_force(spark):
     rows = [(k, f"http://{h}{path(h)}", noise + "".join(out.get(h, []))) for k, h in enumerate(every)]
     got = {r["host"]: r["verdict"] for r in linkgraph.judged(pages_frame(spark, rows)).collect()}
     assert got == want
-    assert {"c13.net", "hub.net"} <= {h for h, v in got.items() if v == "block"} and "allow" in got.values()
+    assert got["c13.net"] == "block" and sum(v == "block" for h, v in got.items() if h.startswith("h")) > 3 and "allow" in got.values()
 
 
 def test_links_of_a_page():
