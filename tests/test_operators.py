@@ -1,12 +1,18 @@
 """Operators on small written cases."""
 
+import json
+import math
 import random
+import time
+from collections import OrderedDict
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.functions.model import TOMBSTONE
+from tidelog.functions.model import TOMBSTONE, now_ms, state_json
 from tidelog.operators import clock, detect, lsm, lww, merkle, quorum, ring
+from tidelog.operators.store import Store
 
 LOG = "key string, value string, physical_time long, logical_counter long, node_id string"
 
@@ -169,7 +175,7 @@ def test_vector_clock_fold(spark):
         own[node] = own.get(node, 0) + 1
         want[seq] += (own[node],)
     log = spark.createDataFrame(writes, "key string, node_id string, seq long, client map<string,long>")
-    got = clock.fold_writes(log, spark.createDataFrame([(n,) for n in names], "node_id string")).collect()
+    got = clock.fold_writes(log).collect()
     assert {r["seq"]: (r["conflict_compat"], r["conflict_true"], r["own_count"]) for r in got} == want
 
 
@@ -191,10 +197,39 @@ def test_phi(spark):
     assert early["phi_monotone"] < 1 < early["phi"]
 
 
+def cached(rows, capacity):
+    """node -> reads, hits, misses, by playing caches through."""
+    caches, count = {}, {}
+    for node, key, *_ in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
+        cache, c = caches.setdefault(node, OrderedDict()), count.setdefault(node, [0, 0, 0])
+        c[0] += 1
+        c[1 if key in cache else 2] += 1
+        cache[key] = True
+        cache.move_to_end(key)
+        if len(cache) > capacity:
+            cache.popitem(last=False)
+    return {n: tuple(c) for n, c in count.items()}
+
+
 def test_least_recently_used(spark):
     rows = [("key1", 1), ("key2", 2), ("key1", 3), ("key3", 4), ("key1", 5), ("key2", 6)]
     access = spark.createDataFrame([(0, int(k[3:]), t, t) for k, t in rows], "node long, key long, ms long, event_id long")
     assert tuple(detect.cache_hits(access, 2).first()) == (0, 6, 2, 4)
+    plan = detect.cache_hits(access, 2)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_least_recently_used_equals_brute_force(spark, block):
+    """Hot keys, long scans that empty the cache, a node with fewer keys than places, ties in time; small blocks."""
+    rnd = random.Random(block)
+    rows = [(0, rnd.choice([rnd.randrange(5), rnd.randrange(60)]), 10 * k // 3, k) for k in range(400)]
+    rows += [(1, k % 30 if k % 100 < 60 else 99, 50_000 * k, k) for k in range(300)]
+    rows += [(2, rnd.randrange(3), k, k) for k in range(50)] + [(3, k, k, k) for k in range(40)] + [(4, 1, 5, 1)]
+    access = spark.createDataFrame(rows, "node long, key long, ms long, event_id long")
+    for capacity in (1, 4, 25):
+        got = {r["node"]: (r["reads"], r["hits"], r["misses"]) for r in detect.cache_hits(access, capacity, block).collect()}
+        assert got == cached(rows, capacity)
 
 
 def test_presence_messages(spark):
@@ -225,8 +260,152 @@ def test_bloom_has_no_false_negatives(spark):
 
 
 def test_wal_round_trip(spark, log, tmp_path):
-    lsm.append_wal(log([("key_A", "value_A", 100, 1, "node1")]), f"{tmp_path}/wal")
-    lsm.append_wal(log([("key_B", "value_B", 105, 2, "node1"), ("key_A", "x" * 1000, 101, 0, "node1")]), f"{tmp_path}/wal")
-    back = spark.read.parquet(f"{tmp_path}/wal")
-    assert state(lsm.replay(back)) == {"key_A": "x" * 1000, "key_B": "value_B"}
-    assert lsm.wal_sizes(back).first().asDict() == {"before": 3, "after": 2}
+    own = Store(spark, f"{tmp_path}/store", "node_1")
+    assert own.log().count() == 0
+    own.rewrite_log()
+    own.append(log([("key_A", "value_A", 100, 1, "node1")]))
+    own.append(log([("key_B", "value_B", 105, 2, "node1"), ("key_A", "x" * 1000, 101, 0, "node1")]))
+    assert own.log().count() == 3 and state(lsm.replay(own.log())) == {"key_A": "x" * 1000, "key_B": "value_B"}
+    own.rewrite_log()
+    assert own.log().count() == 2 and state(own.log()) == {"key_A": "x" * 1000, "key_B": "value_B"}
+    own.append(log([("key_B", TOMBSTONE, 106, 0, "node1")]))
+    own.rewrite_log()
+    assert state(own.log()) == {"key_A": "x" * 1000, "key_B": TOMBSTONE} and len(list((tmp_path / "store" / "wal" / "node_id=node_1").glob("v=*"))) == 1
+
+
+def test_store(spark, log, tmp_path):
+    """Flush hands the memory table over, few keys stay; four tables are merged, removed, and a namesake's aren't touched."""
+    own, other = Store(spark, f"{tmp_path}/store", "node_1"), Store(spark, f"{tmp_path}/store", "node_10")
+    few = own.flush(log([("a", "1", 1, 0, "n"), ("a", "2", 2, 0, "n"), ("b", "1", 1, 0, "n")]), 1)
+    assert few.count() == 3 and own.table_ids() == [] and own.read().count() == 0
+    other.flush(log([(f"z{k}", "o", 1, 0, "n") for k in range(5)]), 1)
+    parts = [COMPACTION[:1], COMPACTION[1:2], COMPACTION[2:4], COMPACTION[4:]]
+    for k, part in enumerate(parts, 1):
+        rest = own.flush(log([*part, *[(f"fill{k}{j}", "v", 5, 0, "n") for j in range(30)]]), k)
+        assert rest.count() == 0
+        assert own.compact(100) is (k == 4)
+    want = {"key1": "new_val", "key2": "keep_me"} | {f"fill{k}{j}": "v" for k in range(1, 5) for j in range(30)}
+    assert own.table_ids() == [100] and state(own.read()) == want and other.table_ids() == [1] and other.read().count() == 5
+    keys = own.read().select("key")
+    probed = lsm.bloom_probe(keys.unionByName(keys.select(F.concat("key", F.lit("?")).alias("key"))), own.read_filters(), lsm.COMPACT_BITS).filter("maybe")
+    found = {r["key"] for r in probed.collect()}
+    assert set(want) <= found and len(found) < 1.3 * len(want)
+    with pytest.raises(ValueError):
+        for k in range(101, 104):
+            own.flush(log([(f"x{k}{j}", "v", 5, 0, "n") for j in range(3)]), k)
+        own.compact(101)
+
+
+def test_table_files_are_ranges_of_keys(spark, tmp_path):
+    rows = [(f"k{k:05d}", "v", 1, 0, "n", k % 2) for k in range(4000)]
+    lsm.write_tables(spark.createDataFrame(rows, LOG + ", sst_id long"), f"{tmp_path}/sst")
+    spans = lsm.read_tables(spark, f"{tmp_path}/sst").groupBy("sst_id", F.input_file_name().alias("f")).agg(F.min("key").alias("a"), F.max("key").alias("b")).orderBy("sst_id", "a").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]) if x["sst_id"] == y["sst_id"])
+
+
+def by_walking(keys, points, n, full=frozenset()):
+    """The first n different nodes from each key's hash on, by walking the sorted points."""
+    line = sorted(points)
+    out = {}
+    for k in keys:
+        h = int(md5(k.encode()).hexdigest()[:15], 16)
+        at = next((i for i, (p, _) in enumerate(line) if p >= h), 0)
+        order = list(dict.fromkeys(line[(at + i) % len(line)][1] for i in range(len(line))))
+        out[k] = ([x for x in order if x not in full] + [x for x in order if x in full])[:n]
+    return out
+
+
+def ring_points(names, vnodes):
+    made = {}
+    for x in names:
+        for v in [f"{x}#{v}" for v in range(vnodes)] if vnodes else [x]:
+            p = int(md5(v.encode()).hexdigest()[:15], 16)
+            made[p] = max(x, made.get(p, x))
+    return list(made.items())
+
+
+def listed(df):
+    of = {}
+    for r in df.collect():
+        of.setdefault(r["key"], {})[r["rank"]] = r["node_id"]
+    return {k: [x[i] for i in sorted(x)] for k, x in of.items()}
+
+
+@pytest.mark.parametrize("n_nodes, vnodes", [(1000, 256), (4, 2), (7, None), (2, None), (40, 3)])
+def test_ring_equals_walking(spark, peers, n_nodes, vnodes):
+    names = [f"node_{k}" for k in range(n_nodes)]
+    keys = [f"user_{k}" for k in range(200)]
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = listed(ring.replicas(frame, peers(names), 3, vnodes))
+    assert got == by_walking(keys, ring_points(names, vnodes), 3)
+
+
+def test_bounded_ring_equals_walking(spark):
+    keys = [f"user_{k}" for k in range(100)]
+    frame = spark.createDataFrame([(k,) for k in keys], "key string")
+    for loads in ([100] * 2 + [0], [10, 300, 20, 400, 30, 500, 600], [5] * 9, [1000] + [0] * 60, [0] + [1000] * 60):
+        names = {f"n{k}": x for k, x in enumerate(loads)}
+        mean = -(-sum(loads) // len(loads))
+        full = {k for k, x in names.items() if x >= max(math.ceil(1.25 * mean), 5)}
+        got = listed(ring.bounded(frame, spark.createDataFrame(list(names.items()), "node_id string, load long"), 3))
+        assert got == by_walking(keys, ring_points(names, None), 3, full)
+
+
+def test_hints_over_many_runs(spark, peers):
+    """Failures in the first, a middle, the last run and none; queues with gaps."""
+    rnd = random.Random(2)
+    stops = {"a": 0, "b": 9000, "c": 29_999, "d": None, "e": 12_288}
+    rows = [(t, s) for t in stops for s in sorted(rnd.sample(range(30_000), 300) + ([stops[t]] if stops[t] is not None else []))]
+    rows = sorted(set(rows))
+    queue = spark.createDataFrame(rows, "target string, seq long")
+    ok = ~F.coalesce(*[F.when((F.col("target") == t) & (F.col("seq") >= s) & ((F.col("seq") == s) | (F.col("seq") % 3 == 0)), True) for t, s in stops.items() if s is not None], F.lit(False))
+    got = {r["target"]: (r["delivered"], r["remaining"]) for r in quorum.deliver(queue, peers(list(stops)), ok).collect()}
+    want = {}
+    for t, stop in stops.items():
+        own = [s for x, s in rows if x == t]
+        done = [s for s in own if stop is None or s < stop]
+        want[t] = (len(done), len(own) - len(done))
+    assert got == want
+
+
+def test_read_quorum(log):
+    answers = {"A": log([("k", "old", 1, 0, "n"), ("only", "x", 1, 0, "n")]), "B": log([("k", "new", 3, 0, "n"), ("k", "newer", 4, 0, "n")])}
+    assert state(quorum.coordinated_get(answers, 2)) == {"k": "newer"} and state(quorum.coordinated_get(answers, 1)) == {"k": "newer", "only": "x"}
+
+
+def test_digest_scopes(log):
+    memory, tables = log([("a", "x", 5, 0, "n")]), log([("a", "y", 7, 0, "n"), ("b", "y", 1, 0, "n")])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(merkle.digest(memory, tables)) == [("a", 7), ("b", 1)] and rows(merkle.digest(memory, tables, scope="memtable")) == [("a", 5)]
+    with pytest.raises(ValueError):
+        merkle.digest(memory, scope="other")
+
+
+def test_writes_at_a_node(spark):
+    rows = [("n1", "k", 1, None, "a", 5, 0), ("n1", "k", 2, {"n2": 1}, "b", 4, 0), ("n1", "k", 3, {"n1": 2, "n2": 1}, "c", 6, 0)]
+    frame = spark.createDataFrame(rows, "node_id string, key string, seq long, client map<string,long>, value string, physical_time long, logical_counter long")
+    got = {r["seq"]: (r["applied"], r["own_count"], r["conflict_true"], len(r["bits"])) for r in clock.write_local(frame).collect()}
+    assert got == {1: (True, 1, False, 3), 2: (False, 2, True, 3), 3: (True, 3, False, 3)}
+
+
+def test_upsert_and_json(spark):
+    frame = spark.createDataFrame([("delete", "x"), ("set", "y")], "op string, value string")
+    assert [r[0] for r in frame.select(lww.upsert(F.col("op"), F.col("value"))).collect()] == [TOMBSTONE, "y"]
+    made = spark.createDataFrame([("a\"b", 1, 2, "n")], "value string, physical_time long, logical_counter long, node_id string").select(state_json().alias("j"), now_ms().alias("t")).first()
+    assert json.loads(made["j"]) == {"value": 'a"b', "timestamp": {"physical_time": 1, "logical_counter": 2, "node_id": "n"}}
+    assert abs(made["t"] / 1000 - time.time()) < 600
+
+
+def test_presence_registers_peers(spark):
+    sent = detect.presence(spark.createDataFrame([("b", 7), ("c", 8)], "node_id string, root long")).withColumn("id", F.lit(1).cast("bigint"))
+    later = spark.createDataFrame([(2, "NODE_ALIVE:b:9")], "id long, message string")
+    known = spark.createDataFrame([("a", 1), ("b", 2)], "node_id string, root long")
+    got = {r["node_id"]: r["root"] for r in detect.register(known, sent.unionByName(later)).collect()}
+    assert got == {"a": 1, "b": 9, "c": 8}
+
+
+def test_the_dead_are_evicted(spark):
+    steady = [1000 + 10 * k for k in range(16)]
+    scored = detect.phi(beats(spark, steady, [t + 300 for t in steady]), steady[-1] + 310)
+    peers = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "node_id long, ip string")
+    assert {r["node_id"] for r in detect.evict(peers, scored).collect()} == {1, 2}

@@ -41,3 +41,14 @@ def entry_hash(prefix: str = "") -> Column:
     """Hash of a whole log entry, field by field."""
     fields = [F.col(prefix + c).cast("string") for c in ("key", "value", "physical_time", "logical_counter", "node_id")]
     return hash60(F.concat_ws("|", *fields))
+
+
+def state_json(value: str = "value", prefix: str = "") -> Column:
+    """A register as JSON: its value and timestamp."""
+    stamp = F.struct(*[F.col(prefix + c).alias(c) for c in ("physical_time", "logical_counter", "node_id")])
+    return F.to_json(F.struct(F.col(prefix + value).alias("value"), stamp.alias("timestamp")))
+
+
+def now_ms() -> Column:
+    """The current time in epoch milliseconds, once for a query."""
+    return F.unix_millis(F.current_timestamp())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.lsm import WRITE_BITS, probes
+
 
 def counts(log: DataFrame) -> DataFrame:
     """key, node_id, cnt: every write increments its coordinator's count."""
@@ -50,7 +52,7 @@ def descends_maps(a: Column, b: Column) -> Column:
     return none_greater & more
 
 
-def fold_writes(log: DataFrame, nodes: DataFrame) -> DataFrame:
+def fold_writes(log: DataFrame) -> DataFrame:
     """node_id, key, seq, own_count, conflict_compat and conflict_true of every write (key, node_id, seq, client).
 
     A node takes the writes of a key in the order of seq.  A write with a
@@ -58,12 +60,14 @@ def fold_writes(log: DataFrame, nodes: DataFrame) -> DataFrame:
     has, which then takes the greater counts and increments its own.  The fold
     has a closed form: counts of other nodes are running maxima of the clients'
     counts, and one's own after i writes is i more than the running maximum of
-    (client's count - writes before it), 0 at least.  nodes (node_id) is
-    metadata: the names that clocks are compared on.
+    (client's count - writes before it), 0 at least.  A write is compared on the
+    names that clocks of its key at its node have, no others.
     """
     order = Window.partitionBy("node_id", "key").orderBy("seq")
     numbered = log.select("node_id", "key", "seq", "client", F.row_number().over(order).alias("i"))
-    each = numbered.join(F.broadcast(nodes.select(F.col("node_id").alias("n"))), how="cross").withColumn("k", F.try_element_at("client", F.col("n")))
+    told = log.select("node_id", "key", F.explode(F.map_keys("client")).alias("n"))
+    named = told.unionByName(log.select("node_id", "key", F.col("node_id").alias("n"))).distinct()
+    each = numbered.join(named, ["node_id", "key"]).withColumn("k", F.try_element_at("client", F.col("n")))
     line = Window.partitionBy("node_id", "key", "n").orderBy("seq")
     until, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("k") - (F.col("i") - 1)
@@ -83,3 +87,21 @@ def fold_writes(log: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     compat = F.col("told") & F.col("neither")
     return out.select("node_id", "key", "seq", "own_count", compat.alias("conflict_compat"), (compat & F.col("differ")).alias("conflict_true"))
+
+
+def write_local(log: DataFrame) -> DataFrame:
+    """What a node does with each write (key, node_id, seq, client and the log's columns), in one row a write.
+
+    node_id, key, seq, own_count, conflict_compat, conflict_true, applied (its
+    clock is newer than all that the node had), the entry as it is logged, and
+    bits, those that it sets in the write path's filter.  Every write is logged
+    and notified, with the vector clock merged and incremented; whether it shows
+    in the memory table is for the clock to say.
+    """
+    clocks = fold_writes(log)
+    before = Window.partitionBy("node_id", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    stamp = F.struct("physical_time", "logical_counter", "value")
+    seen = log.select("node_id", "key", "seq", "value", "physical_time", "logical_counter", stamp.alias("c"), F.max(stamp).over(before).alias("best"))
+    applied = (F.col("best").isNull() | (F.col("c") > F.col("best"))).alias("applied")
+    entry = seen.select("node_id", "key", "seq", "value", "physical_time", "logical_counter", applied, probes(F.col("key"), WRITE_BITS).alias("bits"))
+    return entry.join(clocks, ["node_id", "key", "seq"])

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +9,9 @@ from tidelog.functions.model import hash60
 
 HISTORY, LEAST_SAMPLES, SD_FLOOR, DEAD_PHI, SMALLEST = 100, 10, 0.001, 8.0, 1e-12
 CACHE_KEYS = 100
+
+#: Reads that are settled together, and the time in which a node's reads are numbered together.
+BLOCK, SPAN_MS = 1024, 3_600_000
 ALIVE_PREFIX = "NODE_ALIVE:"
 
 
@@ -58,6 +57,24 @@ def membership(gossip: DataFrame, scored: DataFrame, own: str) -> DataFrame:
     return newest.join(scored.select(F.col("node").alias("node_id"), "phi"), "node_id", "left").select("node_id", F.col("m.ms").alias("last_seen"), F.col("m.key_count").alias("load"), status.alias("status"))
 
 
+def evict(peers: DataFrame, scored: DataFrame) -> DataFrame:
+    """peers (node_id, ...) without those that the detector holds for dead; its history of them goes with them."""
+    gone = dead(scored).select(F.col("node").alias("node_id"))
+    return peers.join(gone, "node_id", "left_anti")
+
+
+def presence(nodes: DataFrame) -> DataFrame:
+    """message: what each node (node_id, root) tells the others."""
+    return nodes.select(F.concat(F.lit(ALIVE_PREFIX), "node_id", F.lit(":"), F.col("root").cast("string")).alias("message"))
+
+
+def register(peers: DataFrame, messages: DataFrame, own: str | None = None) -> DataFrame:
+    """node_id and root of all peers known (node_id, root) or heard of in messages (id, message), whose latest root counts."""
+    heard = parse_presence(messages, own).groupBy("node_id").agg(F.max_by("root", F.struct("id", "root")).alias("heard"))
+    known = peers.select("node_id", "root").join(heard, "node_id", "full")
+    return known.select("node_id", F.coalesce("heard", "root").alias("root"))
+
+
 def parse_presence(messages: DataFrame, own: str | None = None) -> DataFrame:
     """id, node_id and root of messages (id, message) of the form prefix, node, colon, root; a root that isn't a number is 0."""
     body = F.substring("message", len(ALIVE_PREFIX) + 1, F.length("message"))
@@ -73,29 +90,70 @@ def choose_peer(rounds: DataFrame, peers: DataFrame) -> DataFrame:
     return pairs.groupBy("round").agg(F.min_by("node_id", F.struct(h, "node_id")).alias("node_id"))
 
 
-def cache_hits(access: DataFrame, capacity: int = CACHE_KEYS) -> DataFrame:
-    """node, reads, hits and misses of a least-recently-used cache at each node.
+def numbered(access: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
+    """node, key and pos, the place of each access (node, key, ms, event_id) among its node's.
 
-    A cache is read in order, so each is one sequential pass over its node's
-    sorted accesses; what a task holds is the caches' keys.
+    Accesses are counted by spans of time, few, and numbered within these, so a
+    node's accesses are never one task's.
     """
+    spans = access.select("node", "key", "ms", "event_id", F.floor(F.col("ms") / span_ms).alias("span"))
+    counts = spans.groupBy("node", "span").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("node").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    bases = counts.select("node", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    order = Window.partitionBy("node", "span").orderBy("ms", "event_id")
+    return spans.withColumn("at", F.row_number().over(order)).join(bases, ["node", "span"]).select("node", "key", (F.col("base") + F.col("at")).alias("pos"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caches: dict[int, OrderedDict] = {}
-        seen: dict[int, list[int]] = {}
-        for b in batches:
-            for node, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cache, count = caches.setdefault(node, OrderedDict()), seen.setdefault(node, [0, 0])
-                count[0] += 1
-                if key in cache:
-                    count[1] += 1
-                    cache.move_to_end(key)
-                else:
-                    cache[key] = True
-                    if len(cache) > capacity:
-                        cache.popitem(last=False)
-        rows = [(n, r, h, r - h) for n, (r, h) in seen.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["node", "reads", "hits", "misses"])
-
-    ordered = access.repartition("node").sortWithinPartitions("node", "ms", "event_id").select("node", "key")
-    return ordered.mapInArrow(run, "node long, reads long, hits long, misses long")
+def recent_keys(blocks: DataFrame, capacity: int) -> DataFrame:
+    """node, block, key, held (its last place) and rank: the `capacity` last different keys before each block (node, block, key, pos).
+
+    A block's keys go on to as many later blocks as it takes until each has
+    enough keys, or all there are, before it.
+    """
+    last = blocks.groupBy("node", "block", "key").agg(F.max("pos").alias("held"))
+    heads = blocks.select("node", "block").distinct()
+    reach, most = 1, (blocks.agg(F.max("block").alias("m")).first()["m"] or 0)
+    while True:
+        onward = last.select("node", "key", "held", F.explode(F.sequence(F.col("block") + 1, F.col("block") + reach)).alias("block")).join(heads, ["node", "block"], "left_semi")
+        newest = onward.groupBy("node", "block", "key").agg(F.max("held").alias("held"))
+        order = Window.partitionBy("node", "block").orderBy(F.col("held").desc())
+        kept = newest.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < capacity)
+        if reach >= most:
+            return kept
+        full = kept.groupBy("node", "block").agg(F.count(F.lit(1)).alias("n"))
+        short = heads.filter(F.col("block") > reach).join(full, ["node", "block"], "left").filter(F.coalesce("n", F.lit(0)) < capacity)
+        if not short.take(1):
+            return kept
+        reach = min(4 * reach, most)
+
+
+def cache_hits(access: DataFrame, capacity: int = CACHE_KEYS, block: int = BLOCK) -> DataFrame:
+    """node, reads, hits and misses of a least-recently-used cache at each node (access: node, key, ms, event_id).
+
+    A read hits if fewer than `capacity` different keys were read since the
+    key's last read.  A node's reads are cut into blocks.  A key last read
+    before its block hits only if it is among the capacity last keys there, and
+    its rank counts those read since; the others since then are the reads in the
+    block whose own last read is before the key's.  So all is settled within
+    blocks, by joins of bounded size, and no cache is played through.
+    """
+    placed = numbered(access).withColumn("block", F.floor((F.col("pos") - 1) / block))
+    line = Window.partitionBy("node", "key").orderBy("pos")
+    reads = placed.withColumn("last", F.lag("pos").over(line))
+    recent = recent_keys(placed, capacity).select("node", "block", "key", "rank")
+    ranked = reads.join(recent, ["node", "block", "key"], "left")
+    start = F.col("block") * block
+    inside = F.col("last") > start
+    possible = F.col("last").isNotNull() & (inside | F.col("rank").isNotNull())
+    since = F.when(inside, F.lit(0)).otherwise(F.col("rank"))
+    between = F.col("pos") - F.greatest(F.col("last"), start) - 1
+    known = ranked.select("node", "block", "pos", "last", possible.alias("possible"), since.alias("since"), (possible & (since + between < capacity)).alias("sure"))
+    open_ = known.filter(F.coalesce("possible", F.lit(False)) & ~F.coalesce("sure", F.lit(False))).select("node", "block", F.col("pos").alias("at"), F.col("last").alias("from"), "since")
+    others = reads.select("node", "block", "pos", "last")
+    met = open_.join(others, ["node", "block"]).filter((F.col("pos") > F.col("from")) & (F.col("pos") < F.col("at")) & (F.col("last").isNull() | (F.col("last") < F.col("from"))))
+    counted = met.groupBy("node", "at", "since").agg(F.count(F.lit(1)).alias("others")).filter(F.col("since") + F.col("others") < capacity)
+    alone = open_.join(met.select("node", "at").distinct(), ["node", "at"], "left_anti").filter(F.col("since") < capacity)
+    more = counted.select("node").unionByName(alone.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("more"))
+    total = known.groupBy("node").agg(F.count(F.lit(1)).alias("reads"), F.count_if("sure").alias("sure"))
+    hits = F.col("sure") + F.coalesce("more", F.lit(0))
+    return total.join(more, "node", "left").select("node", "reads", hits.alias("hits"), (F.col("reads") - hits).alias("misses"))

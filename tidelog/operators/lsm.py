@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.model import hash60, is_tombstone
@@ -11,6 +11,9 @@ from tidelog.operators.lww import latest, live
 FLUSH_BITS, COMPACT_BITS, WRITE_BITS, PROBES = 1024, 4096, 10000, 3
 FLUSH_KEYS, COMPACT_FILES = 3, 4
 
+#: Sorted tables are Parquet files with key statistics and a Bloom filter, so that reads by key skip most of them.
+OPTIONS = {"compression": "lz4_raw", "parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 
 def probes(key: Column, bits: int = FLUSH_BITS) -> Column:
     """The bit positions of a key: double hashing."""
@@ -39,10 +42,14 @@ def flush(log: DataFrame) -> DataFrame:
 
 
 def write_tables(entries: DataFrame, path: str) -> None:
-    """One directory for each table, files sorted by key, with key statistics and a Bloom filter for reads by key."""
-    salted = entries.repartition("sst_id", F.expr(f"pmod(xxhash64(key), {PROBES + 1})"))
-    options = {"compression": "lz4_raw", "parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-    salted.sortWithinPartitions("sst_id", "key").write.partitionBy("sst_id").options(**options).mode("overwrite").parquet(path)
+    """One directory for each table; its files are ranges of keys, sorted."""
+    ranged = entries.repartitionByRange("sst_id", "key").sortWithinPartitions("sst_id", "key")
+    ranged.write.partitionBy("sst_id").options(**OPTIONS).mode("overwrite").parquet(path)
+
+
+def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of the tables below path, with sst_id."""
+    return spark.read.schema("key string, value string, physical_time long, logical_counter long, node_id string, sst_id long").parquet(path)
 
 
 def summary(entries: DataFrame) -> DataFrame:
@@ -57,15 +64,6 @@ def compact(entries: DataFrame, gc_grace_ms: int = 0, now_ms: int | None = None)
     return live(state)
 
 
-def append_wal(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").parquet(path)
-
-
 def replay(wal: DataFrame) -> DataFrame:
     """The memory table that a write-ahead log stands for."""
     return latest(wal)
-
-
-def wal_sizes(wal: DataFrame) -> DataFrame:
-    """entries before and after the log is rewritten with the winners only."""
-    return wal.agg(F.count(F.lit(1)).alias("before"), F.countDistinct("key").alias("after"))

@@ -12,6 +12,9 @@ from tidelog.operators.lww import latest, union
 
 WRITE_QUORUM = 2
 
+#: Sequence numbers whose hints are counted together.
+RUN = 4096
+
 
 def acks(placed: DataFrame, peers: DataFrame) -> DataFrame:
     """key, replicas, acks, required and status of a write to each key; peers (node_id, alive) is metadata."""
@@ -32,14 +35,22 @@ def hints(writes: DataFrame, placed: DataFrame, peers: DataFrame) -> DataFrame:
 def deliver(queue: DataFrame, peers: DataFrame, ok: Column) -> DataFrame:
     """target, delivered and remaining of queues (target, seq, ...) drained in order up to the first failure.
 
-    Hints for targets that aren't among the peers stay.  The first failure is
-    the least seq that fails, so no queue is sorted or gathered.
+    Hints for targets that aren't among the peers stay.  Hints are read once and
+    counted in runs of RUN sequence numbers, combined before the shuffle, each
+    with its first failure and how many came before that; the runs of a target,
+    few, then tell its totals.  No queue is sorted or gathered.
     """
     known = queue.join(F.broadcast(peers.select(F.col("node_id").alias("target"), F.lit(True).alias("known"))), "target", "left")
-    failing = F.when(~(ok & F.coalesce("known", F.lit(False))), F.col("seq"))
-    stop = known.groupBy("target").agg(F.min(failing).alias("stop"))
-    sent = F.col("stop").isNull() | (F.col("seq") < F.col("stop"))
-    return queue.join(stop, "target").groupBy("target").agg(F.count_if(sent).alias("delivered"), F.count_if(~sent).alias("remaining"))
+    sent = (ok & F.coalesce("known", F.lit(False))).alias("sent")
+    each = known.select("target", "seq", F.floor(F.col("seq") / RUN).alias("run"), sent)
+    # of a run: its hints, and those that were sent before its first failure, by the places of the ones that fail
+    runs = each.groupBy("target", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("sent"), F.col("seq"))).alias("stop"), F.collect_list("seq").alias("seqs"))
+    before = F.when(F.col("stop").isNull(), F.col("n")).otherwise(F.size(F.filter("seqs", lambda s: s < F.col("stop"))))
+    counted = runs.select("target", "run", "n", "stop", before.alias("before"))
+    first = F.min(F.when(F.col("stop").isNotNull(), F.col("run"))).over(Window.partitionBy("target"))
+    delivered = F.when(F.col("first").isNull() | (F.col("run") < F.col("first")), F.col("n")).when(F.col("run") == F.col("first"), F.col("before")).otherwise(0)
+    totals = counted.withColumn("first", first).withColumn("delivered", delivered).groupBy("target")
+    return totals.agg(F.sum("delivered").alias("delivered"), F.sum(F.col("n") - F.col("delivered")).alias("remaining"))
 
 
 def responses(replicas: dict[str, DataFrame]) -> DataFrame:
@@ -49,12 +60,19 @@ def responses(replicas: dict[str, DataFrame]) -> DataFrame:
     return best.select("replica", "key", "w.value", "w.physical_time", "w.logical_counter", "w.node_id")
 
 
-def coordinated_get(replicas: dict[str, DataFrame]) -> DataFrame:
+def coordinated_get(replicas: dict[str, DataFrame], read_quorum: int = 1) -> DataFrame:
     """key, value and physical_time of the freshest response; a deletion wins like any write and is then dropped.
 
-    The freshest of the replicas' winners is the winner over all their rows.
+    Keys that fewer than read_quorum replicas answer for are left out.  The
+    freshest of the replicas' winners is the winner over all their rows, so one
+    aggregate tells it, and how many answered.
     """
-    return latest(union(*replicas.values())).filter(~is_tombstone(F.col("value"))).select("key", "value", "physical_time")
+    if read_quorum <= 1:
+        return latest(union(*replicas.values())).filter(~is_tombstone(F.col("value"))).select("key", "value", "physical_time")
+    bit = [log.select(*LOG_COLUMNS, F.lit(1 << k).alias("replica")) for k, (_, log) in enumerate(sorted(replicas.items()))]
+    best = reduce(DataFrame.unionByName, bit).groupBy("key").agg(F.max(hlc()).alias("w"), F.bit_count(F.bit_or("replica")).alias("answers"))
+    found = best.filter((F.col("answers") >= read_quorum) & ~is_tombstone(F.col("w.value")))
+    return found.select("key", "w.value", "w.physical_time")
 
 
 def read_repair(replicas: dict[str, DataFrame], compat: bool = False) -> DataFrame:

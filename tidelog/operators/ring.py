@@ -1,9 +1,10 @@
 """Placement on a consistent-hash ring.
 
-The ring's points are few (nodes times virtual nodes), so the order of nodes
-clockwise from every point is worked out once for the points.  A key then needs
-its successor point only, found by an equality on a hash prefix and a range
-within it; keys are never crossed with nodes.
+The ring's points are few (nodes times virtual nodes), so what lies clockwise of
+every point is worked out once for the points: the sorted ring is walked from
+each point until enough different nodes are met.  A key then needs its successor
+point only, found by an equality on a hash prefix and a range within it; keys
+are never crossed with nodes, nor points with nodes.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from tidelog.functions.model import RING, hash60
 
 VNODES, REPLICAS = 256, 3
 HEADROOM, LEAST_CAPACITY = 1.25, 5
-PREFIX_BITS = 8
-SLICE = RING >> PREFIX_BITS
+LEAST_BITS, MOST_BITS = 8, 24
+
+#: Rings of more points aren't broadcast.
+BROADCAST_POINTS = 1 << 20
 
 
 def points(peers: DataFrame, vnodes: int | None = VNODES) -> DataFrame:
@@ -35,52 +38,72 @@ def ring_table(peers: DataFrame, vnodes: int = VNODES) -> DataFrame:
     return p.groupBy("node_id").agg(F.count(F.lit(1)).alias("vnodes"), F.min("point").alias("min_hash"), F.max("point").alias("max_hash"))
 
 
-def walk(ring: DataFrame, peers: DataFrame) -> DataFrame:
-    """point, node_id, dist: from every point the clockwise way to every node's next point."""
-    pairs = ring.withColumnRenamed("node_id", "owner").join(F.broadcast(peers.select("node_id")), how="cross")  # points times nodes, metadata
-    after = Window.partitionBy("node_id").orderBy("point").rowsBetween(0, Window.unboundedFollowing)
-    own = F.when(F.col("owner") == F.col("node_id"), F.col("point"))
-    found = pairs.select("point", "node_id", F.min(own).over(after).alias("next"), F.min(own).over(Window.partitionBy("node_id")).alias("first"))
-    return found.select("point", "node_id", (F.coalesce("next", F.col("first") + F.lit(RING)) - F.col("point")).alias("dist"))
+def ahead(ring: DataFrame, reach: int, full: bool = False) -> DataFrame:
+    """point, free and rest: the different nodes on the `reach` points from each point on, in ring order; rest are those marked full.
+
+    The sorted ring, metadata, is one window; its first points follow its last.
+    """
+    marked = ring if full else ring.withColumn("full", F.lit(False))
+    again = marked.withColumn("at", F.col("point") + F.lit(RING))
+    line = marked.withColumn("at", F.col("point")).unionByName(again)
+    on = Window.orderBy("at").rowsBetween(0, reach - 1)
+    met = lambda taken: F.array_distinct(F.collect_list(F.when(taken, F.col("node_id"))).over(on))
+    return line.select("point", "at", met(~F.col("full")).alias("free"), met(F.col("full")).alias("rest")).filter(F.col("at") < RING).drop("at")
+
 
+def clockwise(ring: DataFrame, n: int, n_points: int, full: bool = False) -> DataFrame:
+    """point and nodes: the first n different nodes clockwise of each point (all, if there are fewer), those marked full last.
 
-def arcs(ring: DataFrame) -> DataFrame:
+    The walk's reach is doubled until every point has met enough nodes.
+    """
+    marked = ring if full else ring.withColumn("full", F.lit(False))
+    counts = marked.agg(F.count_distinct(F.when(~F.col("full"), F.col("node_id"))).alias("free"), F.count_distinct("node_id").alias("every")).first()
+    free, rest = min(n, counts["free"]), max(0, min(n, counts["every"]) - counts["free"])
+    reach = 8 * n
+    while True:
+        met = ahead(ring, min(reach, n_points), full).withColumns({"free": F.slice("free", 1, n), "rest": F.slice("rest", 1, n)})
+        if reach >= n_points or not met.filter((F.size("free") < free) | (F.size("rest") < rest)).take(1):
+            return met.select("point", F.slice(F.concat("free", "rest"), 1, n).alias("nodes"))
+        reach *= 2
+
+
+def arcs(ring: DataFrame, bits: int) -> DataFrame:
     """prefix, low, high, point: keys with low < hash <= high belong to point; a row for each prefix that an arc meets."""
+    width = RING >> bits
     order = Window.orderBy("point")  # metadata: the ring's points
     whole = ring.select("point", F.lag("point").over(order).alias("before"), F.max("point").over(Window.partitionBy()).alias("last"))
     inner = whole.select("point", F.coalesce("before", F.lit(-1).cast("bigint")).alias("low"), F.col("point").alias("high"))
     wrap = whole.filter("before IS NULL").select("point", F.col("last").alias("low"), F.lit(RING).cast("bigint").alias("high"))
     both = inner.unionByName(wrap)
-    prefixes = F.sequence(F.expr(f"(low + 1) div {SLICE}"), F.expr(f"least(high, {RING - 1}) div {SLICE}"))
+    prefixes = F.sequence(F.expr(f"(low + 1) div {width}"), F.expr(f"least(high, {RING - 1}) div {width}"))
     return both.filter(f"low < {RING - 1}").select(F.explode(prefixes).alias("prefix"), "low", "high", "point")
 
 
-def place(keys: DataFrame, ring: DataFrame, ranked: DataFrame) -> DataFrame:
-    """key, rank, node_id for ranked (point, rank, node_id)."""
-    at = arcs(ring)
-    hashed = keys.select("key", hash60(F.col("key")).alias("h")).withColumn("prefix", F.expr(f"h div {SLICE}"))
-    found = hashed.join(F.broadcast(at), (hashed.prefix == at.prefix) & (F.col("h") > F.col("low")) & (F.col("h") <= F.col("high"))).select("key", "point")
-    return found.join(F.broadcast(ranked), "point").select("key", "rank", "node_id")
-
-
-def by_distance(walked: DataFrame, n: int) -> DataFrame:
-    order = Window.partitionBy("point").orderBy("dist", "node_id")
-    return walked.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n).select("point", "rank", "node_id")
+def place(keys: DataFrame, ring: DataFrame, ranked: DataFrame, n_points: int) -> DataFrame:
+    """key, rank, node_id for ranked (point, nodes); as many prefixes as points, so a key has about one arc to test."""
+    bits = min(MOST_BITS, max(LEAST_BITS, n_points.bit_length()))
+    at = arcs(ring, bits).join(ranked, "point").select("prefix", "low", "high", "nodes")
+    side = F.broadcast(at) if n_points <= BROADCAST_POINTS else at
+    hashed = keys.select("key", hash60(F.col("key")).alias("h")).withColumn("prefix", F.expr(f"h div {RING >> bits}"))
+    found = hashed.join(side, (hashed.prefix == at.prefix) & (F.col("h") > F.col("low")) & (F.col("h") <= F.col("high")))
+    return found.select("key", F.posexplode("nodes").alias("pos", "node_id")).select("key", (F.col("pos") + 1).cast("bigint").alias("rank"), "node_id")
 
 
 def replicas(keys: DataFrame, peers: DataFrame, n: int = REPLICAS, vnodes: int | None = VNODES) -> DataFrame:
     """key, rank, node_id: the first n different nodes clockwise of each key's hash.
 
-    keys has one row for each key.  The nodes are metadata: a point needs a row
-    for each node.  With n nodes or fewer every key is on all of them, in ring
-    order for vnodes None and in name order otherwise.
+    keys has one row for each key.  The nodes are metadata.  With n nodes or
+    fewer every key is on all of them, in ring order for vnodes None and in
+    name order otherwise.
     """
     peers = metadata(peers)
-    if vnodes is not None and peers.count() <= n:
+    n_peers = peers.count()
+    if vnodes is not None and n_peers <= n:
         named = peers.select(F.row_number().over(Window.orderBy("node_id")).cast("bigint").alias("rank"), "node_id")
-        return keys.select("key").join(F.broadcast(named), how="cross")
-    ring = points(peers, vnodes)
-    return place(keys, ring, by_distance(walk(ring, peers), n))
+        return keys.select("key").join(F.broadcast(named), how="cross")  # n nodes
+    n_points = n_peers * (vnodes or 1)
+    ring = metadata(points(peers, vnodes)) if n_points <= BROADCAST_POINTS else points(peers, vnodes)
+    return place(keys, ring, clockwise(ring, n, n_points), n_points)
 
 
 def capacity(loads: DataFrame) -> DataFrame:
@@ -97,8 +120,7 @@ def metadata(nodes: DataFrame) -> DataFrame:
 def bounded(keys: DataFrame, loads: DataFrame, n: int = REPLICAS) -> DataFrame:
     """key, rank, node_id: as replicas without virtual nodes, but nodes at their capacity come last."""
     loads = metadata(loads)
-    ring = points(loads, None)
-    full = loads.join(F.broadcast(capacity(loads)), how="cross").select("node_id", (F.col("load") >= F.col("capacity")).alias("full"))
-    order = Window.partitionBy("point").orderBy("full", "dist", "node_id")
-    ranked = walk(ring, loads).join(F.broadcast(full), "node_id").withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
-    return place(keys, ring, ranked.select("point", "rank", "node_id"))
+    n_points = loads.count()
+    full = loads.join(F.broadcast(capacity(loads)), how="cross").select("node_id", (F.col("load") >= F.col("capacity")).alias("full"))  # one row
+    ring = metadata(points(loads, None).join(F.broadcast(full), "node_id"))
+    return place(keys, ring, clockwise(ring, n, n_points, full=True), n_points)

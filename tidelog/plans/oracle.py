@@ -41,6 +41,12 @@ def merkle(name: str) -> str:
     return f"m_{name} AS (SELECT {BUCKET} AS bucket, bit_xor({ENTRY}) AS hash FROM state_{name} GROUP BY 1)"
 
 
+def repaired(own: str, other: str) -> str:
+    """repaired_X: a replica's state once it has pulled what the other has newer, key by key."""
+    columns = ", ".join(f"CASE WHEN a.key IS NULL OR b.physical_time > a.physical_time THEN b.{c} ELSE a.{c} END AS {c}" for c in ("value", "physical_time", "logical_counter", "node_id"))
+    return f"repaired_{own} AS (SELECT key, {columns} FROM state_{own} a FULL JOIN state_{other} b USING (key))"
+
+
 DIFF = f"""{merkle('A')}, {merkle('B')}, diff AS (
   SELECT bucket, coalesce(a.hash, 0) AS hash_a, coalesce(b.hash, 0) AS hash_b FROM m_A a FULL JOIN m_B b USING (bucket) WHERE coalesce(a.hash, 0) <> coalesce(b.hash, 0))"""
 
@@ -101,6 +107,19 @@ def hits(capacity: int) -> str:
     return f"cache AS (SELECT node, count(*) AS reads, count(*) FILTER (before IS NOT NULL AND others < {capacity}) AS hits, count(*) FILTER (before IS NULL OR others >= {capacity}) AS misses FROM reach GROUP BY node)"
 
 
+CLOCKED = f"""{LOG}, numbered AS (SELECT *, row_number() OVER (PARTITION BY node_id, key ORDER BY seq) AS i, seq % 4 > 0 AS told FROM log),
+each AS (SELECT l.node_id, key, seq, i, told, n.n, CASE WHEN told AND n.n = 'node_' || seq % 3 THEN seq % 5 WHEN told AND n.n = 'node_' || (seq + 1) % 3 THEN seq % 7 END AS k
+  FROM numbered l, (SELECT 'node_' || x AS n FROM range(3) t(x)) n),
+lines AS (SELECT *, max(k) OVER b AS k_before, max(k - (i - 1)) OVER b AS ahead_before, max(k - (i - 1)) OVER u AS ahead FROM each
+  WINDOW b AS (PARTITION BY node_id, key, n ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY node_id, key, n ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+rows_ AS (SELECT *, CASE WHEN n <> node_id THEN k_before WHEN i > 1 THEN i - 1 + greatest(0, coalesce(ahead_before, 0)) END AS had, CASE WHEN n = node_id THEN i + greatest(0, coalesce(ahead, 0)) END AS has FROM lines),
+met AS (SELECT node_id, key, seq, max(has) AS own_count, bool_or(told) AS told, bool_or(had IS DISTINCT FROM k) AS differ,
+  NOT bool_or(k IS NOT NULL AND k > coalesce(had, 0)) AND bool_or(had IS NOT NULL AND (k IS NULL OR had > k)) AS node_descends,
+  NOT bool_or(had IS NOT NULL AND had > coalesce(k, 0)) AND bool_or(k IS NOT NULL AND (had IS NULL OR k > had)) AS client_descends FROM rows_ GROUP BY node_id, key, seq)"""
+HEARD = """messages AS (SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'NODE_ALIVE:node_' || event_id % 5 || ':abc' WHEN 1 THEN 'NODE_ALIVE:node_' || event_id % 5
+  WHEN 2 THEN 'HELLO:node_' || event_id % 5 || ':' || event_id ELSE 'NODE_ALIVE:node_' || event_id % 5 || ':' || event_id END AS message FROM events UNION ALL SELECT -1, 'NODE_ALIVE:node_new:77'),
+parts AS (SELECT id, string_split(substr(message, 12), ':') AS p FROM messages WHERE starts_with(message, 'NODE_ALIVE:')),
+heard AS (SELECT id, p[1] AS node_id, coalesce(TRY_CAST(p[2] AS BIGINT), 0) AS root FROM parts WHERE len(p) = 2 AND p[1] <> 'node_0')"""
 ASKED = "asked AS (SELECT unnest(['user_1', 'user_2', 'user_3', 'user_5', 'user_8', 'user_13', 'user_100000000', 'nobody']) AS key)"
 FLAT = "key, value, physical_time, logical_counter, node_id"
 
@@ -119,6 +138,7 @@ SELECT key, count(*) AS writes, count(*) FILTER (best IS NULL OR c > best) AS ac
     "key_count": f"WITH {STATE} SELECT count(*) AS n_keys FROM state",
     "node_loads": f"WITH {LOG}, {LOADS} SELECT node_id, load FROM loads",
     "digest": f"WITH {STATE} SELECT key, physical_time FROM state",
+    "digest_memtable": f"WITH {LOG}, memory AS (SELECT * FROM log WHERE seq % 10 = 9), {latest('memory', 'state')} SELECT key, physical_time FROM state",
     "merkle_buckets": f"WITH {STATE} SELECT {BUCKET} AS bucket, bit_xor({ENTRY}) AS hash FROM state GROUP BY 1",
     "merkle_root": f"WITH {STATE} SELECT bit_xor({ENTRY}) AS root, count(*) AS n_keys FROM state",
     "merkle_diff": f"WITH {A_B}, {DIFF} SELECT bucket, hash_a, hash_b FROM diff",
@@ -126,7 +146,9 @@ SELECT key, count(*) AS writes, count(*) FILTER (best IS NULL OR c > best) AS ac
 WHERE a.physical_time IS NULL OR b.physical_time > a.physical_time""",
     "delta_push": f"""WITH {A_B}, {DIFF} SELECT key, a.value, a.physical_time AS local_ts, coalesce(b.physical_time, 0) AS peer_ts FROM state_A a LEFT JOIN state_B b USING (key)
 WHERE {h60('a.key')} % 16 IN (SELECT bucket FROM diff) AND a.physical_time > coalesce(b.physical_time, 0)""",
-    "replica_convergence": "SELECT CAST(0 AS BIGINT) AS mismatched",
+    "replica_convergence": f"""WITH {A_B}, {repaired('A', 'B')}, {repaired('B', 'A')}, l AS (SELECT {BUCKET} AS bucket, bit_xor({ENTRY}) AS hash FROM repaired_A GROUP BY 1), r AS (SELECT {BUCKET} AS bucket, bit_xor({ENTRY}) AS hash FROM repaired_B GROUP BY 1)
+SELECT count(*) AS mismatched FROM l FULL JOIN r USING (bucket) WHERE coalesce(l.hash, 0) <> coalesce(r.hash, 0)""",
+    "anti_entropy_repair": f"WITH {A_B}, {repaired('A', 'B')} SELECT key, value, physical_time FROM repaired_A",
     "ring_table": f"WITH {PEERS}, points AS ({VNODES}), r AS (SELECT point, max(node_id) AS node_id FROM points GROUP BY point) SELECT node_id, count(*) AS vnodes, min(point) AS min_hash, max(point) AS max_hash FROM r GROUP BY node_id",
     "ring_replicas": f"WITH {LOG}, {PLACED} SELECT key, rank, node_id FROM placed",
     "ring_replicas_simple": f"WITH {LOG}, {PEERS}, {ring('placed', SIMPLE).format(keys='log')} SELECT key, rank, node_id FROM placed",
@@ -139,16 +161,18 @@ WHERE {h60('a.key')} % 16 IN (SELECT bucket FROM diff) AND a.physical_time > coa
 prefix AS (SELECT *, bool_and(ok) OVER (PARTITION BY target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent FROM tried)
 SELECT target, count(*) FILTER (sent) AS delivered, count(*) FILTER (NOT sent) AS remaining FROM prefix GROUP BY target""",
     "coordinated_get": f"WITH {A_B_C}, {ANSWERS} SELECT key, value, physical_time FROM best WHERE value <> '__TOMBSTONE__'",
+    "coordinated_get_quorum": f"WITH {A_B_C}, {ANSWERS} SELECT key, value, physical_time FROM best WHERE value <> '__TOMBSTONE__' AND key IN (SELECT key FROM answers GROUP BY key HAVING count(*) >= 3)",
     "read_repair": f"WITH {A_B_C}, {ANSWERS} SELECT key, replica, a.physical_time AS replica_ts, b.physical_time AS fresh_ts FROM answers a JOIN best b USING (key) WHERE a.physical_time < b.physical_time",
     "read_repair_compat": f"""WITH {A_B_C}, {ANSWERS}, ran AS (SELECT key, replica, physical_time, max(physical_time) OVER (PARTITION BY key ORDER BY replica ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM answers)
 SELECT key, replica, r.physical_time AS replica_ts, b.physical_time AS fresh_ts FROM ran r JOIN best b USING (key) WHERE before IS NULL OR r.physical_time <> before""",
     "bloom_build": f"WITH {LOG}, {TABLES}, {BITS} SELECT sst_id, bit FROM bits",
-    "bloom_probe": f"""WITH {LOG}, {TABLES}, {BITS}, asked AS (SELECT 'user_' || i AS key FROM range(400) t(i)), ids AS (SELECT DISTINCT sst_id FROM tables),
+    "bloom_probe": f"""WITH {LOG}, {TABLES}, {BITS}, asked AS (SELECT DISTINCT key FROM log UNION ALL SELECT DISTINCT key || '?' FROM log), ids AS (SELECT DISTINCT sst_id FROM tables),
 probed AS (SELECT key, sst_id, bool_and(({h60('key')} + i * {h60("key || '*'")}) % 1024 IN (SELECT bit FROM bits b WHERE b.sst_id = ids.sst_id)) AS maybe,
   any_value(key IN (SELECT key FROM tables x WHERE x.sst_id = ids.sst_id)) AS member FROM asked, ids, range(3) t(i) GROUP BY key, sst_id)
 SELECT sst_id, count(*) AS asked, count(*) FILTER (member) AS members, count(*) FILTER (maybe) AS maybe, count(*) FILTER (maybe AND NOT member) AS false_positives, count(*) FILTER (member AND NOT maybe) AS missed FROM probed GROUP BY sst_id""",
     "sst_read": f"WITH {LOG}, {TABLES}, {FLUSH} SELECT sst_id, count(*) AS n, min(key) AS min_key, max(key) AS max_key FROM flushed GROUP BY sst_id",
     "sst_flush": f"WITH {LOG}, {TABLES}, {FLUSH} SELECT sst_id, {FLAT} FROM flushed",
+    "sst_discovery": f"WITH {LOG}, {TABLES}, {FLUSH} SELECT sst_id, count(*) AS n FROM flushed WHERE sst_id % 2 = 0 GROUP BY sst_id",
     "compaction": f"WITH {LOG}, {TABLES}, {FLUSH}, {latest('flushed', 'state')} SELECT {FLAT} FROM state WHERE value <> '__TOMBSTONE__'",
     "wal_replay": f"WITH {STATE} SELECT {FLAT} FROM state",
     "wal_compact": f'WITH {LOG} SELECT count(*) AS "before", count(DISTINCT key) AS "after" FROM log',
@@ -156,22 +180,23 @@ SELECT sst_id, count(*) AS asked, count(*) FILTER (member) AS members, count(*)
     "vclock_merge": f"WITH {A_B}, {clocks('A')}, {clocks('B')} SELECT key, node_id, max(cnt) AS cnt FROM (SELECT * FROM clock_A UNION ALL SELECT * FROM clock_B) GROUP BY key, node_id",
     "vclock_descends": f"WITH {COMPARED} SELECT key, a_descends, b_descends FROM compared",
     "vclock_conflicts": f"WITH {COMPARED} SELECT key, NOT a_descends AND NOT b_descends AS conflict_compat, NOT a_descends AND NOT b_descends AND differ AS conflict_true FROM compared",
-    "vclock_writes": f"""WITH {LOG}, numbered AS (SELECT *, row_number() OVER (PARTITION BY node_id, key ORDER BY seq) AS i, seq % 4 > 0 AS told FROM log),
-each AS (SELECT l.node_id, key, seq, i, told, n.n, CASE WHEN told AND n.n = 'node_' || seq % 3 THEN seq % 5 WHEN told AND n.n = 'node_' || (seq + 1) % 3 THEN seq % 7 END AS k
-  FROM numbered l, (SELECT 'node_' || x AS n FROM range(3) t(x)) n),
-lines AS (SELECT *, max(k) OVER b AS k_before, max(k - (i - 1)) OVER b AS ahead_before, max(k - (i - 1)) OVER u AS ahead FROM each
-  WINDOW b AS (PARTITION BY node_id, key, n ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY node_id, key, n ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-rows_ AS (SELECT *, CASE WHEN n <> node_id THEN k_before WHEN i > 1 THEN i - 1 + greatest(0, coalesce(ahead_before, 0)) END AS had, CASE WHEN n = node_id THEN i + greatest(0, coalesce(ahead, 0)) END AS has FROM lines),
-met AS (SELECT node_id, key, seq, max(has) AS own_count, bool_or(told) AS told, bool_or(had IS DISTINCT FROM k) AS differ,
-  NOT bool_or(k IS NOT NULL AND k > coalesce(had, 0)) AND bool_or(had IS NOT NULL AND (k IS NULL OR had > k)) AS node_descends,
-  NOT bool_or(had IS NOT NULL AND had > coalesce(k, 0)) AND bool_or(k IS NOT NULL AND (had IS NULL OR k > had)) AS client_descends FROM rows_ GROUP BY node_id, key, seq)
-SELECT node_id, key, seq, own_count, told AND NOT node_descends AND NOT client_descends AS conflict_compat, told AND NOT node_descends AND NOT client_descends AND differ AS conflict_true FROM met""",
+    "vclock_writes": f"WITH {CLOCKED} SELECT node_id, key, seq, own_count, told AND NOT node_descends AND NOT client_descends AS conflict_compat, told AND NOT node_descends AND NOT client_descends AND differ AS conflict_true FROM met",
+    "write_local": f"""WITH {CLOCKED},
+seen AS (SELECT node_id, key, row(physical_time, logical_counter, value) AS c, max(row(physical_time, logical_counter, value)) OVER (PARTITION BY node_id, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM log),
+taken AS (SELECT node_id, count(*) FILTER (best IS NULL OR c > best) AS applied FROM seen GROUP BY node_id),
+write_bits AS (SELECT node_id, count(DISTINCT ({h60('key')} + i * {h60("key || '*'")}) % 10000) AS bits FROM (SELECT DISTINCT node_id, key FROM log), range(3) t(i) GROUP BY node_id)
+SELECT node_id, count(*) AS writes, any_value(applied) AS applied, count(*) FILTER (told AND NOT node_descends AND NOT client_descends) AS conflicts, count(DISTINCT key) AS keys, max(own_count) AS most_writes, any_value(bits) AS bits
+FROM met JOIN taken USING (node_id) JOIN write_bits USING (node_id) GROUP BY node_id""",
     "heartbeat_intervals": f"WITH {BEATS}, {GAPS} SELECT node, ms, gap_ms FROM gaps",
     "phi_accrual": f"WITH {PHI} SELECT node, n, round(mean_s, 6) AS mean_s, round(sd_s, 6) AS sd_s, round(phi, 6) AS phi, round(phi_monotone, 6) AS phi_monotone FROM phi",
     "phi_dead": f"WITH {PHI} SELECT node FROM phi WHERE phi > 8",
     "membership": f"""WITH {PHI}, gossip AS (SELECT user_id AS node_id, epoch_us(ts) // 1000 AS ms, event_id % 1000 AS key_count FROM events WHERE user_id <> 0),
 newest AS (SELECT node_id, max(row(ms, key_count)) AS m FROM gossip GROUP BY node_id)
 SELECT node_id, m[1] AS last_seen, m[2] AS load, CASE WHEN phi > 8 THEN 'Dead' ELSE 'Alive' END AS status FROM newest LEFT JOIN phi ON node = node_id""",
+    "eviction": f"""WITH {PHI}, newest AS (SELECT user_id AS node_id, max(row(epoch_us(ts) // 1000, event_id % 1000)) AS m FROM events WHERE user_id <> 0 GROUP BY user_id)
+SELECT node_id, m[1] AS last_seen, m[2] AS load FROM newest LEFT JOIN phi ON node = node_id WHERE phi IS NULL OR phi <= 8""",
+    "peer_registry": f"""WITH {HEARD} SELECT node_id, coalesce(h.root, p.root) AS root FROM (SELECT 'node_' || r_regionkey AS node_id, CAST(0 AS BIGINT) AS root FROM region) p
+FULL JOIN (SELECT node_id, arg_max(root, row(id, root)) AS root FROM heard GROUP BY node_id) h USING (node_id)""",
     "discovery_parse": """WITH messages AS (SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'NODE_ALIVE:node_' || event_id % 5 || ':abc' WHEN 1 THEN 'NODE_ALIVE:node_' || event_id % 5
   WHEN 2 THEN 'HELLO:node_' || event_id % 5 || ':' || event_id ELSE 'NODE_ALIVE:node_' || event_id % 5 || ':' || event_id END AS message FROM events),
 parts AS (SELECT id, string_split(substr(message, 12), ':') AS p FROM messages WHERE starts_with(message, 'NODE_ALIVE:'))
@@ -185,5 +210,9 @@ steps AS (SELECT hour, xor(h, coalesce(lag(h) OVER (PARTITION BY key ORDER BY ph
 hours AS (SELECT hour, bit_xor(x) AS x FROM steps GROUP BY hour), roots AS (SELECT hour, bit_xor(x) OVER (ORDER BY hour) AS root FROM hours)
 SELECT hour, root, root <> lag(root, 1, 0) OVER (ORDER BY hour) AS changed FROM roots""",
     "stream_lww": f"WITH {STATE} SELECT {FLAT} FROM state",
+    "stream_state_feed": f"""WITH {STATE}, roots AS (SELECT bit_xor({ENTRY}) AS root FROM state)
+SELECT key, '{{"value":"' || value || '","timestamp":{{"physical_time":' || physical_time || ',"logical_counter":' || logical_counter || ',"node_id":"' || node_id || '"}}}}' AS register, root FROM state, roots""",
+    "stream_detectors": f"""WITH {BEATS}, last_gaps AS (SELECT * FROM (SELECT node, ms, ms - lag(ms) OVER (PARTITION BY node ORDER BY ms) AS gap, row_number() OVER (PARTITION BY node ORDER BY ms DESC) AS back FROM beats) WHERE back <= 100)
+SELECT node, count(gap) AS n, max(ms) AS last_ms, round(avg(gap), 6) AS mean_ms FROM last_gaps GROUP BY node""",
     "stream_watch": f"WITH {LOG} SELECT key, seq FROM log",
 }
