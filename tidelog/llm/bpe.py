@@ -18,7 +18,8 @@ share a row or a column.
 
 A word is encoded from left to right.  Every beginning of a word has one walk,
 so at each position one token ends that has an arc from where the walk of what
-is before it leads; it is looked up in the table, and nothing is taken back.
+is before it leads.  From each position on, the tokens that begin there are
+looked up in the table, and nothing is taken back.
 Decoding emits the labels of the arcs, joined as the tokenizer file's decoder says.
 """
 
@@ -87,10 +88,9 @@ class Automaton:
             self._gadget(vocab[a], vocab[b], vocab[a + b], when)
         self._finish()
         self.tokens = {spelled: k for spelled, k in self.tokens.items() if self.reached[k]}
-        #: By last letter, the length of the longest token.
-        self.longest: dict[str, int] = {}
-        for spelled in self.tokens:
-            self.longest[spelled[-1]] = max(len(spelled), self.longest.get(spelled[-1], 0))
+        for spelled in list(self.tokens):
+            for i in range(1, len(spelled)):  # beginnings of tokens that are none
+                self.tokens.setdefault(spelled[:i], -1)
 
     def _gadget(self, a: int, b: int, c: int, when: int) -> None:
         self.left[c], self.right[c], self.born[c] = a, b, when
@@ -167,24 +167,28 @@ class Automaton:
 
     def walk(self, word: bytes) -> list[int]:
         """The tokens of a word: the arcs of the one walk that spells it."""
-        n, tokens, rows, states, columns, longest = len(word), self.tokens, self.rows, self.states, self.columns, self.longest
+        n, tokens, rows, states, columns = len(word), self.tokens, self.rows, self.states, self.columns
         spelled = word.decode("latin-1")
         spelled = spelled[:-1] + chr(256 + word[-1])
-        whole = tokens.get(spelled)
-        if whole is not None:
+        whole = tokens.get(spelled, -1)
+        if whole >= 0:
             return [whole]
         last = [-1] * (n + 1)  # of the walk to each position the last token
         begin = [0] * (n + 1)  # and where that begins
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest[spelled[i - 1]]), i):
+        for j in range(n):
+            if j and last[j] < 0:
+                continue
+            row = rows[states[last[j]]] if j else None
+            for i in range(j + 1, n + 1):
                 token = tokens.get(spelled[j:i])
-                if token is not None:
+                if token is None:
+                    break
+                if token >= 0:
                     column = columns[token]
-                    if not j or not rows[states[last[j]]][column >> 3] >> (column & 7) & 1:
+                    if row is None or not row[column >> 3] >> (column & 7) & 1:
                         last[i], begin[i] = token, j
-                        break
-            else:
-                raise ValueError(f"no walk spells {word!r}")
+        if last[n] < 0:
+            raise ValueError(f"no walk spells {word!r}")
         path, i = [], n
         while i:
             path.append(last[i])
