@@ -2,9 +2,10 @@
 
 Documents are dealt out by ranges of doc_id, sorted, encoded and written as ORC:
 integer run-length encoded ids, row indexes, and Bloom filters on doc_id.  A
-row also holds its length and the ids before it in its file, so that any stripe
-can be read alone: a document's start is its file's base plus that.  Files are
-numbered in doc_id order, and the bases are sums of lengths over earlier files.
+row also holds its length and the ids before it in its partition, so that any
+stripe can be read alone: a document's start is its partition's base plus that.  Files are
+numbered by the partitions that wrote them, in doc_id order, and the bases are
+sums of lengths over earlier partitions, in however many files each wrote.
 """
 
 from __future__ import annotations
@@ -129,13 +130,14 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) ->
     """
     small_batches(spark)
     files = spark.read.schema(SCHEMA).orc(folder)
-    named = files.select("*", F.col("_metadata.file_name").alias("file"))
-    totals = stored(named.groupBy("file").agg(F.sum("n_tokens").alias("total")), "orc-files")
-    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")  # of the partition that wrote the file
-    ahead = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    bases = stored(totals.select("file", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base")), "orc-bases")
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")  # of the partition that wrote the file
+    named = files.select("*", number.alias("part"))
+    totals = stored(named.groupBy("part").agg(F.sum("n_tokens").alias("total")), "orc-parts")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    bases = stored(totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base")), "orc-bases")
     rows = named.filter(F.col("doc_id").isin(doc_ids)) if doc_ids is not None else named
-    return rows.join(broadcast_if_small(bases, F.octet_length("file") + 8), "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    found = rows.join(broadcast_if_small(bases, F.lit(16)), "part")
+    return found.select("doc_id", (F.col("base") + F.col("before")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
