@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import pages, scratch_path, small_batches, stored
+from tidelog.llm.common import join_side, pages, scratch_path, small_batches, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_REVISIT = 100
@@ -35,11 +35,21 @@ MANIFEST = "archive string, records long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Schemes of Hadoop's connectors for stores that the file system library knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs", "viewfs": "hdfs"}
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path there."""
+    """The file system of a URI and the path there; an error that names the scheme if there is none."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri.removeprefix("file:")
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+    if "://" not in uri:
+        return pafs.LocalFileSystem(), uri
+    scheme, rest = uri.split("://", 1)
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"archives can't be written to {scheme}:// from Python workers; name another shared folder") from e
 
 
 def page_uri(page_id: int | None) -> str:
@@ -187,11 +197,14 @@ def with_revisits(table: DataFrame) -> DataFrame:
     it; a page without an id revisits one that has one.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
-    every = table.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
-    long = every.filter(F.col("payload_bytes") >= LEAST_REVISIT)
+    size, digest = F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest")
+    long = table.select("page_id", size, digest).filter(F.col("payload_bytes") >= LEAST_REVISIT)
     first = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n")
+    every = table.select("page_id", "url", html.alias("html"), size, digest)
+    # digests that come once aren't in the side, whose rows are one for each digest; what repeats may be one error page on many hosts
+    joined = join_side(every, stored(first, "warc-first"), ["payload_digest"], F.lit(72), "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))
-    joined = every.join(first, "payload_digest", "left").withColumn("refers_to", refers)
+    joined = joined.withColumn("refers_to", refers)
     return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit("").cast("binary")).alias("html"), "payload_bytes", "payload_digest", "refers_to")
 
 
