@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import broadcast_if_small, documents, small_batches, stored, text_of
+from tidelog.llm.common import documents, join_side, small_batches, stored, text_of
 
 #: A line is furniture in more than this share of its host's distinct documents, and in this many at least.
-LINE_SHARE = 0.10
-LINE_DOCS = 20
+LINE_SHARE = 0.05
+LINE_DOCS = 5
 #: A document that loses lines is rejected when it keeps fewer words, or a smaller share of its words.
 LEAST_WORDS = 10
 LEAST_SHARE = 0.20
@@ -89,11 +89,11 @@ def lines_of(text: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) -> DataFrame:
-    """host and its furniture: the hashes of the lines above the limits, over all documents.
+    """host and furniture, a map of the hashes of the lines above the limits, over all documents.
 
-    A null host is a host of its own.  A host has at most (lines of its
-    documents) / (share of its documents) such lines, a few times the lines of
-    an average document.
+    A null host is a host of its own.  A line above the share is held by so many
+    documents that a host has at most the lines of an average document times
+    1 / share of them.
     """
     own = docs.select(F.col("source").alias("host"), F.xxhash64(text_of()).alias("content"), lines_of(text_of()).alias("lines"))
     hashed = own.select("host", "content", F.explode_outer(F.array_distinct(F.transform("lines", line_hash))).alias("line"))
@@ -110,7 +110,8 @@ def frequent_lines(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE
     counted = stored(counted.filter((F.col("docs") >= least) | (F.col("line") == 0)), "line-counts")
     hosts = counted.filter("line = 0").select(F.col("host").alias("of"), F.col("docs").alias("all_docs"))
     above = counted.filter("line <> 0").join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("docs") > share * F.col("all_docs"))
-    return above.groupBy("host").agg(F.collect_set("line").alias("furniture"))
+    marked = F.transform(F.sort_array(F.collect_set("line")), lambda x: F.struct(x.alias("key"), F.lit(True).alias("value")))
+    return above.groupBy("host").agg(F.map_from_entries(marked).alias("furniture"))
 
 
 def words_in(text: Column) -> Column:
@@ -128,12 +129,12 @@ def judge(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_DOCS) ->
     added names are replaced.
     """
     small_batches(docs.sparkSession)
-    furniture = broadcast_if_small(stored(frequent_lines(docs, share, least), "furniture"), F.size("furniture") * 8)
+    furniture = stored(frequent_lines(docs, share, least), "furniture")
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_removed_lines", "kept", "host", "furniture", "base")
     docs = docs.drop(*added)
-    joined = docs.join(furniture, F.col("source").eqNullSafe(F.col("host")), "left").drop("host")
+    joined = join_side(docs.withColumn("host", F.col("source")), furniture, ["host"], F.size("furniture") * 24, "left").drop("host")
     lines = lines_of(F.col("text"))
-    kept_lines = F.filter(lines, lambda x: ~F.array_contains(F.col("furniture"), line_hash(x)))
+    kept_lines = F.filter(lines, lambda x: ~F.map_contains_key(F.col("furniture"), line_hash(x)))
     some = F.col("furniture").isNotNull() & F.col("text").isNotNull()
     out = (
         joined.withColumn("kept_lines", F.when(some, kept_lines))
