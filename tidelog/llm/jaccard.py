@@ -2,9 +2,12 @@
 
 Candidates share one of 20 bands of 5 minima (a pair at 0.8 is missed with a
 chance of 4 in 10,000); each is verified by the exact similarity of the two
-texts.  Members of a band's group are paired in two rounds: each with the one
-before it, and then, where they aren't linked yet, with the REACH before it, so
-pairs grow with the rows of a group and not with their square.
+texts.  A band's members are numbered and paired by their distance in numbers:
+first neighbours, then those up to REACH apart, then four times as far and so
+on.  A round takes only pairs that earlier rounds haven't linked by whatever
+way, and only bands that still have several components, so a group of copies is
+done after a round or two, however large, and every candidate that could add a
+link is verified.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import small_batches, stored
@@ -74,11 +77,19 @@ def similar_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa
         yield pa.array([similar(a, b) for a, b in zip(one.to_pylist(), two.to_pylist())], pa.bool_())
 
 
-def pairs(groups: DataFrame, reach: int) -> DataFrame:
-    """a and b: each member of groups(members) with the `reach` before it."""
-    before = lambda i: F.slice("members", F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach)))
-    every = F.transform(F.sequence(F.lit(2), F.size("members")), lambda i: F.transform(before(i), lambda a: F.struct(a.alias("a"), F.element_at("members", i).alias("b"))))
-    return groups.select(F.explode(F.flatten(every)).alias("p")).select("p.a", "p.b").distinct()
+def numbered(own: DataFrame) -> DataFrame:
+    """band, i, n and t: the members of each band that has several, numbered from 1, and how many they are."""
+    line = Window.partitionBy("band")
+    each = own.select("t", F.explode("bands").alias("band"))
+    return each.select("band", F.row_number().over(line.orderBy("t")).alias("i"), F.count(F.lit(1)).over(line).alias("n"), "t").filter("n > 1")
+
+
+def pairs(members: DataFrame, low: int, high: int) -> DataFrame:
+    """a and b: members (band, i, t, label) of a band that are low to high apart and have different labels."""
+    later = members.filter(F.col("i") > low).select("band", "t", F.col("label").alias("label_b"), "i", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("i") - 1))).alias("k"))
+    later = later.select("band", F.col("t").alias("b"), "label_b", (F.col("i") - F.col("k")).alias("i"))
+    met = later.join(members.select("band", "i", F.col("t").alias("a"), "label"), ["band", "i"])
+    return met.filter("label <> label_b").select("a", "b").distinct()
 
 
 def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
@@ -89,16 +100,23 @@ def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
     return some.join(a, "a").join(b, "b").withColumn("near", near).filter("near").select("a", "b")
 
 
-def labels(texts: DataFrame) -> DataFrame:
+def labels(texts: DataFrame, reach: int = REACH) -> DataFrame:
     """node and label (the least t it is linked with) for those of the texts (t, text), distinct and without nulls, that have links."""
     small_batches(texts.sparkSession)
     own = stored(texts.select("t", F.arrow_udf(band_batches, "array<long>")("text").alias("bands")), "bands")
-    groups = own.select("t", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_set("t")).alias("members")).filter(F.size("members") > 1)
-    groups = stored(groups.select("members"), "band-groups")
-    edges = stored(verified(stored(pairs(groups, 1), "pairs"), texts), "links")
-    label = components(edges)
-    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    wide = pairs(groups.filter(F.size("members") > 2), REACH).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = wide.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    more = stored(verified(stored(apart, "pairs"), texts), "links")
-    return components(stored(edges.unionByName(more), "links")) if more.take(1) else label
+    members = stored(numbered(own), "band-members")
+    found = stored(verified(stored(pairs(members.withColumn("label", F.col("t")), 1, 1), "pairs"), texts), "links")
+    edges, label = found, components(found)
+    low, high = 2, reach
+    while True:
+        known = label.select(F.col("node").alias("t"), "label")
+        named = members.filter(F.col("n") > low).join(known, "t", "left").select("band", "i", "t", F.coalesce("label", "t").alias("label"))
+        several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+        rest = stored(named.join(several, "band", "left_semi"), "band-members")
+        if not rest.take(1):
+            return label
+        found = stored(verified(stored(pairs(rest, low, high), "pairs"), texts), "links")
+        if found.take(1):
+            edges = stored(edges.unionByName(found), "links")
+            label = components(edges)
+        low, high = high + 1, 4 * high
