@@ -52,6 +52,48 @@ def test_orc_metadata_pruning(spark, small, tmp_path):
     assert orc.ORCFile(str(part)).row_index_stride == 1000
 
 
+def test_orc_starts_with_several_files_a_partition(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: (r["start"], r["ids"]) for r in orc_tokens.read(spark, orc_tokens.write(docs, f"file://{tmp_path}/whole")).collect()}
+    options = {"spark.sql.files.maxRecordsPerFile": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        path = orc_tokens.write(docs, f"file://{tmp_path}/split")
+    finally:
+        for k in options:
+            spark.conf.unset(k)
+    names = [p.name for p in (tmp_path / "split").glob("*.orc")]
+    parts = Counter(n.split("-")[1] for n in names)
+    assert len(parts) > 1 and max(parts.values()) > 1
+    assert {r["doc_id"]: (r["start"], r["ids"]) for r in orc_tokens.read(spark, path).collect()} == want
+
+
+def test_orc_skips_by_indexes_and_bloom_filters(spark, tmp_path):
+    """A present id costs a row group, an absent one within the range of ids costs no row."""
+    docs = spark.range(0, 12_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        path = orc_tokens.write(docs, f"file://{tmp_path}/orc")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    def scanned(doc_id):
+        found = spark.read.schema(orc_tokens.SCHEMA).orc(path).filter(F.col("doc_id") == doc_id)
+        rows = found.collect()
+        return len(rows), found._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert scanned(5000)[0] == 1 and scanned(5000)[1] <= 1000
+    assert [scanned(k) for k in (5001, 7003, 9005)].count((0, 0)) >= 2
+    assert scanned(100_000) == (0, 0)
+
+
+def test_archives_need_a_known_store():
+    with pytest.raises(ValueError, match="nosuch://"):
+        zipwarc.filesystem("nosuch://bucket/path")
+    assert zipwarc.filesystem("file:/tmp/x")[1] == "/tmp/x"
+
+
 def by_brute_force(rows):
     first = Counter()
     least = {}
