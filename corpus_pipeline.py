@@ -2,7 +2,12 @@
 
 Each stage is a function (spark, docs, sf_dir) that works on all documents the
 one before it kept; its result is written as Parquet and read again.  All but
-the last return the columns they were given.
+the last return the columns they were given, whatever their names and number.
+
+In every stage a null text counts as an empty one, texts are read whole, rows
+with a null doc_id are rows like others, and an empty table gives an empty one.
+Rows are told apart by all their columns: rows that are equal in all of them are
+one row repeated, which the near-duplicate stage alone thins out.
 """
 
 from __future__ import annotations
@@ -16,10 +21,11 @@ from tidelog.llm import bpe, decontam, jaccard, quality, secrets, simhash
 from tidelog.llm.common import broadcast_if_small, documents, scratch_path, stored, text_of
 
 
-def row_key() -> Column:
-    """A key for rows that differ in doc_id or text, nulls included."""
+def row_key(docs: DataFrame) -> Column:
+    """A key for rows that differ in any column, nulls included."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    return F.md5(F.concat(part("doc_id"), F.lit("|"), part("text")).cast("binary"))
+    parts = [x for c in docs.columns for x in (F.char_length(part(c)).cast("string"), F.lit("|"), part(c))]
+    return F.md5(F.concat(*parts).cast("binary"))
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -39,14 +45,22 @@ def unpacked(df: DataFrame, docs: DataFrame, text: Column | None = None) -> Data
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; furniture lines go from those that stay."""
+    """Rejected documents go; furniture lines go from those that stay.
+
+    A null or empty text has too few words, so its row goes.  A null source is a
+    source like others.  Repeated rows all stay, or all go.
+    """
     judged = quality.judge(packed(docs, F.col("source")))
     return unpacked(judged.filter("kept"), docs, F.col("clean_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the least doc_id stays, once."""
-    rows = packed(docs, row_key().alias("key_"))
+    """Of each component of linked fingerprints the document with the least doc_id stays, once.
+
+    Of several rows with this doc_id the one with the least key stays; a null
+    doc_id comes after all others.  Texts without words are linked.
+    """
+    rows = packed(docs, row_key(docs).alias("key_"))
     linked = simhash.link(rows.select("doc_id", "text", "key_"), carry=("key_",))
     first = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("first"))
     stay = stored(first.select("first.key_"), "first-of-group")
@@ -55,11 +69,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts linked by five-word similarity of 0.8 or more the document with the least doc_id stays."""
+    """Of each component of texts linked by five-word similarity of 0.8 or more the document with the least doc_id stays.
+
+    Ties are as in near_dedup; of equal texts one row stays.  Texts without words
+    are linked by being equal only.
+    """
     text = F.xxhash64(text_of())
     texts = stored(docs.select(text.alias("t"), text_of().alias("text")).dropDuplicates(["t"]), "texts")
     labels = jaccard.labels(texts).select(F.col("node").alias("t_"), F.col("label").alias("group_"))
-    rows = packed(docs, row_key().alias("key_"), text.alias("t_"))
+    rows = packed(docs, row_key(docs).alias("key_"), text.alias("t_"))
     linked = stored(rows.select("doc_id", "key_", "t_").join(broadcast_if_small(stored(labels, "labels"), F.lit(16)), "t_"), "linked")
     first = linked.groupBy("group_").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("first"))
     gone = stored(linked.join(first, "group_").filter("key_ <> first.key_").select("key_").distinct(), "similar")
@@ -67,26 +85,37 @@ def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies go: those by fingerprints, and of what stays those by five-word similarity."""
+    """Near copies go: those by fingerprints, and of what stays those by five-word similarity.
+
+    Fingerprints of 64 bits can't tell a similarity of 0.8, where 10 bits differ
+    on average, so the second step is there for the ones in between.
+    """
     return similar_dedup(spark, stored(near_dedup(spark, docs, sf_dir), "fingerprints-apart"), sf_dir)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Each row is judged by its own text, whatever its doc_id; items with a null or
+    empty text are held by none.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    rows = packed(docs, row_key().alias("key_"))
+    rows = packed(docs, row_key(docs).alias("key_"))
     held = decontam.leaks(rows.select(F.col("key_").alias("doc_id"), "text"), items)
     gone = stored(held.select(F.col("doc_id").alias("key_")).distinct(), "contaminated")
     return unpacked(rows.join(broadcast_if_small(gone, F.octet_length("key_")), "key_", "left_anti"), docs)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind."""
+    """Secrets are replaced by their kind; no row goes, a null text stays null.
+
+    Overlapping spans become one mark, of the kind that begins first.
+    """
     return unpacked(secrets.redact(packed(docs)), docs, F.col("text"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of ids and of the decoded text."""
+    """doc_id, n_tokens, ids and the digests of ids and of the decoded text; a null or empty text has no ids."""
     done = bpe.tokenize(docs.select("doc_id", "text"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *bpe.digests())
 
