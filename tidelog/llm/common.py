@@ -38,8 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in the application's own folder, which goes when the application ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/tidelog/{context.applicationId}"
+    if getattr(context, "_tidelog_folder", None) != folder:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+        context._tidelog_folder = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from tidelog.llm import decontam, linkgraph, quality, secrets
+from tidelog.llm import decontam, linkgraph, quality
 
 WHITE = r"[\x20\x09-\x0D]"
 
+# Fixed values, stated here once more so that a slip in an operator's shows: name, pattern, group, its least length, base.
+PRIVATE_KEY = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20, True),
+    ("hex", r"[0-9a-f]+", 0, 24, True),
+    ("pem", PRIVATE_KEY + r"(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/]{16,}={0,2})+(?:\s+[A-Za-z0-9+/]{1,15}={0,2})?|)", 0, 1, False),
+    ("forge", r"\bgh[pousr]_[A-Za-z0-9]{36}", 0, 1, False),
+)
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
 
 def either_case(pattern: str) -> str:
     """(?i:...) spelled out for A-Z, as DuckDB's engine folds more letters."""
@@ -14,18 +25,18 @@ def either_case(pattern: str) -> str:
     return head + "(?:" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in inner) + ")" + tail
 
 
-def secret_rule(rule: secrets.Rule, rank: int) -> str:
-    pattern = (either_case(rule.pattern) if "(?i:" in rule.pattern else rule.pattern).replace("'", "''")
-    size = f"length(regexp_extract(hit, '{pattern}', {rule.group}))"
-    return f"""SELECT rid, '{rule.name}' AS kind, {rank} AS rank, reach - length(hit) AS start, reach AS stop FROM (
+def secret_rule(name: str, pattern: str, group: int, least: int, rank: int) -> str:
+    pattern = (either_case(pattern) if "(?i:" in pattern else pattern).replace("'", "''")
+    size = f"length(regexp_extract(hit, '{pattern}', {group}))"
+    return f"""SELECT rid, '{name}' AS kind, {rank} AS rank, reach - length(hit) AS start, reach AS stop FROM (
   SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY i) AS reach FROM (
     SELECT rid, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM (
-      SELECT rid, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM d))) WHERE {size} >= {rule.least}"""
+      SELECT rid, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM d))) WHERE {size} >= {least}"""
 
 
 def secret_scan() -> str:
-    every = " UNION ALL ".join(secret_rule(r, k) for k, r in enumerate(secrets.RULES))
-    base = ", ".join(f"'{r.name}'" for r in secrets.RULES if r.base)
+    every = " UNION ALL ".join(secret_rule(*rule[:4], k) for k, rule in enumerate(SECRETS))
+    base = ", ".join(f"'{rule[0]}'" for rule in SECRETS if rule[4])
     count = lambda k: f"count(*) FILTER (kind = '{k}') AS n_{k}"
     joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), s AS ({every})
@@ -65,10 +76,9 @@ def link_graph() -> str:
     """150 rounds, beyond which less than a billionth of a seed is on its way; no page of the tables hides links in scripts."""
     host = r"coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     path = r"coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
-    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
-    longest = sorted(linkgraph.RULES, key=lambda r: -len(r.text))
-    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in longest) + " END"
-    verdict = "CASE rule " + " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in longest) + " END"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in longest) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in longest) + " END"
     share = lambda v: f"count(*) FILTER (by_rule = '{v}') / count(*)"
     seed = lambda v, k: f"SELECT '{k}' AS kind, host, {share(v)} AS score FROM ruled WHERE host <> '' GROUP BY host HAVING {share(v)} >= {linkgraph.SEED_SHARE}"
     link = r'''(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)'''.replace("'", "''")

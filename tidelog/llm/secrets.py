@@ -148,6 +148,13 @@ class Ledger:
         return spans.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("found"))
 
 
+def report(spark: SparkSession, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, blob and found of every path that the ledger in folder has, of whatever scan; a pair of both is one path."""
+    ledger = Ledger(spark, folder)
+    held = ledger.known_paths().distinct()
+    return held.join(ledger.by_blob(rules), "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"))
+
+
 def scan(docs: DataFrame, folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and found, the spans of each row of docs, through a ledger in folder.
 
