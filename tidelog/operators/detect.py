@@ -147,13 +147,14 @@ def cache_hits(access: DataFrame, capacity: int = CACHE_KEYS, block: int = BLOCK
     possible = F.col("last").isNotNull() & (inside | F.col("rank").isNotNull())
     since = F.when(inside, F.lit(0)).otherwise(F.col("rank"))
     between = F.col("pos") - F.greatest(F.col("last"), start) - 1
-    known = ranked.select("node", "block", "pos", "last", possible.alias("possible"), since.alias("since"), (possible & (since + between < capacity)).alias("sure"))
-    open_ = known.filter(F.coalesce("possible", F.lit(False)) & ~F.coalesce("sure", F.lit(False))).select("node", "block", F.col("pos").alias("at"), F.col("last").alias("from"), "since")
-    others = reads.select("node", "block", "pos", "last")
-    met = open_.join(others, ["node", "block"]).filter((F.col("pos") > F.col("from")) & (F.col("pos") < F.col("at")) & (F.col("last").isNull() | (F.col("last") < F.col("from"))))
-    counted = met.groupBy("node", "at", "since").agg(F.count(F.lit(1)).alias("others")).filter(F.col("since") + F.col("others") < capacity)
-    alone = open_.join(met.select("node", "at").distinct(), ["node", "at"], "left_anti").filter(F.col("since") < capacity)
-    more = counted.select("node").unionByName(alone.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("more"))
-    total = known.groupBy("node").agg(F.count(F.lit(1)).alias("reads"), F.count_if("sure").alias("sure"))
-    hits = F.col("sure") + F.coalesce("more", F.lit(0))
-    return total.join(more, "node", "left").select("node", "reads", hits.alias("hits"), (F.col("reads") - hits).alias("misses"))
+    known = ranked.select("node", "block", F.col("pos").alias("at"), F.col("last").alias("from"), since.alias("since"), F.coalesce(possible, F.lit(False)).alias("possible"), (since + between < capacity).alias("sure"))
+    open_ = F.col("possible") & ~F.col("sure")
+    settled = known.filter(~open_).groupBy("node").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("possible") & F.col("sure")).alias("hits"))
+    asked = known.filter(open_).drop("possible", "sure").alias("a")
+    others = reads.select("node", "block", "pos", "last").alias("o")
+    same = (F.col("a.node") == F.col("o.node")) & (F.col("a.block") == F.col("o.block"))
+    first = (F.col("o.pos") > F.col("a.from")) & (F.col("o.pos") < F.col("a.at")) & (F.coalesce("o.last", F.lit(0)) < F.col("a.from"))
+    counted = asked.join(others, same & first, "left").groupBy("a.node", "a.at", "a.since").agg(F.count("o.pos").alias("others"))
+    more = counted.groupBy("node").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("since") + F.col("others") < capacity).alias("hits"))
+    total = settled.unionByName(more).groupBy("node").agg(F.sum("reads").alias("reads"), F.sum("hits").alias("hits"))
+    return total.select("node", "reads", "hits", (F.col("reads") - F.col("hits")).alias("misses"))
