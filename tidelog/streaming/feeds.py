@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidelog.functions.model import LOG_COLUMNS, entry_hash, state_json
+from tidelog.functions.model import entry_hash, state_json
 from tidelog.operators.detect import HISTORY
 from tidelog.operators.lww import latest
 from tidelog.operators.merkle import root
