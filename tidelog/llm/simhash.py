@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.common import discard, documents, small_batches, stored, text_of
+from tidelog.llm.common import discard, documents, join_side, small_batches, stored, text_of
 
 SHINGLE = 4
 SEED = 42
@@ -257,7 +257,9 @@ def link(docs: DataFrame, long_list: int = LONG_LIST, carry: tuple[str, ...] = (
     labels = components(edges)  # node, label: only fingerprints that have links
     named = least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     component = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(component, "label").select("fp", "label", "component_id"), "fp").select("doc_id", *carry, "fp", "label", "component_id")
+    whole = stored(named.join(component, "label").select("fp", "label", "component_id"), "named-fingerprints")
+    # a fingerprint may be that of a third of all rows
+    return join_side(own, whole, ["fp"], F.lit(24)).select("doc_id", *carry, "fp", "label", "component_id")
 
 
 def op3_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
