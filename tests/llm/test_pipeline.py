@@ -162,8 +162,9 @@ def test_dedup_stage_reaches_similarity(spark, empty):
     assert apart == {i for i in parent if root(i) == i}
 
 
-def test_similarity_beyond_reach(spark):
-    """Many texts in one band that aren't all linked: no link is lost, though pairs are taken a few numbers apart at a time."""
+@pytest.mark.parametrize("long_band", [2, 2048])
+def test_similarity_within_bands(spark, long_band):
+    """Many texts in one band that aren't all linked: no link is lost, by whole bands and by pairs a few numbers apart at a time."""
     import random
 
     from tidelog.llm import jaccard
@@ -190,5 +191,5 @@ def test_similarity_beyond_reach(spark):
             if a < b and keys[a] & keys[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     want = {i: root(i) for i in parent if sum(root(j) == root(i) for j in parent) > 1}
-    got = jaccard.labels(spark.createDataFrame(texts, "t long, text string"), reach=3)
+    got = jaccard.labels(spark.createDataFrame(texts, "t long, text string"), reach=3, long_band=long_band)
     assert {r["node"]: r["label"] for r in got.collect()} == want and len(set(want.values())) < len(want)
