@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontam, jaccard, quality, secrets, simhash
-from tidelog.llm.common import broadcast_if_small, documents, scratch_path, stored, text_of
+from tidelog.llm.common import broadcast_if_small, documents, scratch_path, sized, stored, text_of
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -68,6 +68,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unpacked(once.join(stay, "key_", "left_semi"), docs)
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """t, a hash, and text, once for each text of docs, a written table.
+
+    Texts are read where they are if none repeats; else only those that repeat are shuffled, as long as their hashes
+    can be broadcast.
+    """
+    each = docs.select(F.xxhash64(text_of()).alias("t"), text_of().alias("text"))
+    repeated = stored(each.groupBy("t").count().filter("count > 1").select("t"), "repeated-texts")
+    if not repeated.take(1):
+        return each
+    some, small = sized(repeated, F.lit(8))
+    if not small:
+        return stored(each.dropDuplicates(["t"]), "texts")
+    return stored(each.join(some, "t", "left_anti").unionByName(each.join(some, "t", "left_semi").dropDuplicates(["t"])), "texts")
+
+
 def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts linked by five-word similarity of 0.8 or more the document with the least doc_id stays.
 
@@ -75,8 +91,7 @@ def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     are linked by being equal only.
     """
     text = F.xxhash64(text_of())
-    texts = stored(docs.select(text.alias("t"), text_of().alias("text")).dropDuplicates(["t"]), "texts")
-    labels = jaccard.labels(texts).select(F.col("node").alias("t_"), F.col("label").alias("group_"))
+    labels = jaccard.labels(distinct_texts(docs)).select(F.col("node").alias("t_"), F.col("label").alias("group_"))
     rows = packed(docs, row_key(docs).alias("key_"), text.alias("t_"))
     linked = stored(rows.select("doc_id", "key_", "t_").join(broadcast_if_small(stored(labels, "labels"), F.lit(16)), "t_"), "linked")
     first = linked.groupBy("group_").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("first"))

@@ -193,3 +193,37 @@ def test_similarity_within_bands(spark, long_band):
     want = {i: root(i) for i in parent if sum(root(j) == root(i) for j in parent) > 1}
     got = jaccard.labels(spark.createDataFrame(texts, "t long, text string"), reach=3, long_band=long_band)
     assert {r["node"]: r["label"] for r in got.collect()} == want and len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_distinct_texts(spark, limit, monkeypatch):
+    """Each text once, nulls as empty ones; texts that are distinct already aren't shuffled or written again."""
+    written, stored, sized = [], corpus_pipeline.stored, corpus_pipeline.sized
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, name: written.append(name) or stored(df, name))
+    monkeypatch.setattr(corpus_pipeline, "sized", lambda df, row_bytes: sized(df, row_bytes, limit))
+    data = [(k, f"text {k % 7}" if k < 20 else f"other {k}") for k in range(30)] + [(30, None), (31, ""), (None, "text 1")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.distinct_texts(docs).collect()]
+    assert sorted(t for _, t in got) == sorted({t or "" for _, t in data}) and len({h for h, _ in got}) == len(got)
+    assert written == ["repeated-texts", "texts"]
+    written.clear()
+    alone = corpus_pipeline.distinct_texts(docs.filter("doc_id between 20 and 30"))
+    assert sorted(r["text"] for r in alone.collect()) == sorted(t or "" for i, t in data if i and 20 <= i <= 30)
+    assert written == ["repeated-texts"] and "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_workers_keep_no_other_tables():
+    """The encoder's tables, of the pipeline's last stage, don't wait beside an executor while other stages work."""
+    import weakref
+
+    import pyarrow as pa
+
+    from tidelog.llm import jaccard, quality
+
+    texts = pa.array(["one two three one two three", None])
+    for work in (quality.measure_batches, jaccard.band_batches, jaccard.shingle_batches):
+        own = weakref.ref(bpe.codec(bpe.default_path()))
+        got = list(work(iter([texts.fill_null("")])))
+        assert len(got[0]) == 2 and own() is None
+    again = bpe.codec(bpe.default_path())
+    assert again is bpe.codec(bpe.default_path()) and again.decode(again.encode("one two")) == "one</w> two</w>"

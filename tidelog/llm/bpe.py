@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, small_batches, text_of
+from tidelog.llm.common import KEPT, documents, small_batches, text_of
 from tidelog.llm.token_table import TokenTable
 
 VOCABULARY = "word_bpe_49k.json"
@@ -254,6 +254,7 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+KEPT.append(_CODECS)
 
 
 def codec(path: str) -> Codec:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import uuid
 import zipfile
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,9 @@ ARROW_BYTES = 16 << 20
 #: Copies of a side that is too large to broadcast; the rows of a hot key are dealt over as many tasks.
 SALTS = 16
 
+#: What operators keep in a Python worker from task to task, to be made again when missing.
+KEPT: list[dict] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only if unset."""
@@ -95,6 +102,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches whose worker keeps nothing: other operators' tables go before, freed memory goes back after it.
+
+    Workers wait beside their executor for tasks of any operator, so what they hold is taken from all later stages.
+    """
+
+    @wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        for tables in KEPT:
+            tables.clear()
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # of glibc
+                libc.malloc_trim(0)
+
+    return run
+
+
 def join_side(rows: DataFrame, side: DataFrame, on: list[str], row_bytes, how: str = "inner") -> DataFrame:
     """rows joined with a written table that has a row for each key at most, whatever part of rows a key has.
 

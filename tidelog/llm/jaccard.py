@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import broadcast_if_small, small_batches, stored
+from tidelog.llm.common import broadcast_if_small, lean, small_batches, stored
 from tidelog.llm.components import components
 
 SHINGLE = 5
@@ -66,6 +66,7 @@ def bands(text: str) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+@lean
 def band_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([bands(t.as_py() or "") for t in texts], pa.list_(pa.int64()))
@@ -77,6 +78,7 @@ def similar(a: str, b: str) -> bool:
     return both >= LEAST * (len(one) + len(two) - both)
 
 
+@lean
 def similar_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for one, two in batches:
         yield pa.array([similar(a, b) for a, b in zip(one.to_pylist(), two.to_pylist())], pa.bool_())
@@ -107,6 +109,7 @@ def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
     return some.join(a, "a").join(b, "b").withColumn("near", near).filter("near").select("a", "b")
 
 
+@lean
 def shingle_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([shingles(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
@@ -137,6 +140,7 @@ def band_links(ts: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> li
     return edges
 
 
+@lean
 def band_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of each band of a partition sorted by band (band, t, label, shingles)."""
     held: list[tuple[int, int, int, np.ndarray]] = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, join_side, small_batches, stored, text_of
+from tidelog.llm.common import documents, join_side, lean, small_batches, stored, text_of
 
 #: A line is furniture in more than this share of its host's distinct documents, and in this many at least.
 LINE_SHARE = 0.05
@@ -65,6 +65,7 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(raw.translate(None, NOT_SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
 
 
+@lean
 def measure_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = [x.split(":")[0] for x in BASE[len("struct<") : -1].split(",")]
     for texts in batches:
