@@ -145,6 +145,11 @@ def test_links_of_a_page():
     assert dom.links(page) == ["HTTP://A.com/", "//b.com/?x=1&y", "http://c.com/", "d"]
 
 
+def test_empty_links_of_a_page():
+    """An address that is empty once its quotes, references and white space are off is none; the first href counts."""
+    assert dom.links("""<a href=""><a href=''><a href=" \n"><a href="&#32;"><a href="" href="b"><a href><a href=" c ">""") == ["c"]
+
+
 class Article(HTMLParser):
     """Text inside article, by the standard library's parser."""
 

@@ -237,7 +237,7 @@ def main_texts(root: Node) -> list[Node]:
 
 
 def links(source: str) -> list[str]:
-    """The addresses of a page's links: href of a start tags, references decoded; not in comments, scripts and the like."""
+    """The addresses of a page's links: href of a start tags, references decoded, without empty ones; not in comments, scripts and the like."""
     out: list[str] = []
     p = 0
     while start := START.search(source, p):
@@ -262,8 +262,8 @@ def links(source: str) -> list[str]:
             p = stop.start()
         elif name == "a" and not m[1]:
             href = next((v for k, v in ATTRIBUTE.findall(m[3]) if k.lower() == "href"), "")
-            if href:
-                out.append(html.unescape(href.strip("\"'")).strip())
+            if address := html.unescape(href.strip("\"'")).strip():
+                out.append(address)
     return out
 
 
