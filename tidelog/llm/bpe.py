@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import KEPT, documents, small_batches, text_of
+from tidelog.llm.common import KEPT, documents, give_back, small_batches, text_of
 from tidelog.llm.token_table import TokenTable
 
 VOCABULARY = "word_bpe_49k.json"
@@ -44,6 +44,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Rows of the transition table that are made at once.
 ROWS_MADE = 1000
 
+#: Texts of a batch that are encoded and decoded at once: their chunks take many times their own bytes.
+TEXTS_AT_ONCE = 500
+
 #: Texts of these characters are normalised here; others by the tokenizer file's own normaliser.
 PLAIN = regex.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-₿]*")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -302,8 +305,11 @@ def encode_and_decode(text: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for b in batches:
-            flat, ends = own.encode_many(b)
-            yield pa.StructArray.from_arrays([lists(flat, ends), texts(own, flat, ends)], ["ids", "decoded"])
+            for k in range(0, max(1, len(b)), TEXTS_AT_ONCE):
+                flat, ends = own.encode_many(b[k : k + TEXTS_AT_ONCE])
+                yield pa.StructArray.from_arrays([lists(flat, ends), texts(own, flat, ends)], ["ids", "decoded"])
+            del b, flat, ends
+            give_back()  # between batches a worker holds its tables only
 
     return F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")(text)
 

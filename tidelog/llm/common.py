@@ -102,6 +102,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # of glibc
+        libc.malloc_trim(0)
+
+
 def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches whose worker keeps nothing: other operators' tables go before, freed memory goes back after it.
 
@@ -116,9 +123,7 @@ def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
             yield from function(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # of glibc
-                libc.malloc_trim(0)
+            give_back()
 
     return run
 
